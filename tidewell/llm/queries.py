@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import history as history_mod
+from tidewell.llm import origins as origins_mod
+from tidewell.llm import splitting as splitting_mod
 from tidewell.llm import survivors as survivors_mod
 from tidewell.session import table
 from tidewell.shared import Scratch
@@ -25,14 +27,39 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors_mod.survivors(ledger, groups, scratch)
 
 
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origins_mod.classify(table(spark, sf_dir, "files"), table(spark, sf_dir, "extracted_texts"), Scratch(spark, "p3"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_labels(spark, sf_dir).where("label <> 'handwritten'").select("file_key").distinct()
+
+
+def _long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting_mod.records(table(spark, sf_dir, "extracted_texts"), table(spark, sf_dir, "extracted_pages"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting_mod.split_records(_long_records(spark, sf_dir)).where("pieces > 1 and piece_no = 0").select("record_kind", "record_key")
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting_mod.with_text(_long_records(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [table(spark, sf_dir, t) for t in ("files", "chunks", "ledger")]
     return history_mod.forerunners(*tables, Scratch(spark, "p5"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_survivors": p1_survivors, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found}
+
 
+P4_SQL = """
+  SELECT 'text' AS record_kind, text_key AS record_key FROM extracted_texts WHERE length(text) > 1000
+  UNION ALL SELECT 'page', page_key FROM extracted_pages WHERE length(text) > 1000
+"""
 
 P5_SQL = r"""
   WITH f AS (SELECT file_key, batch_no, nullif(regexp_replace(lower(trim(hash)), '^(md5|sha1|sha256)\s*[:=]\s*', ''), '') AS h FROM files WHERE batch_no IS NOT NULL),
@@ -50,4 +77,4 @@ P5_SQL = r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p4_found": P4_SQL, "p5_found": P5_SQL}

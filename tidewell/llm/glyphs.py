@@ -1,14 +1,15 @@
-"""Skeletons of words: glyphs that a scanner confuses fall together."""
+"""Skeletons of words, in which glyphs that a scanner confuses fall together, and completion of cut-off names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Single glyphs and the class each falls into.
 SINGLE = {"1": "i", "l": "i", "|": "i", "j": "i", "!": "i", "e": "c", "b": "h", "8": "h", "t": "f", "0": "o", "5": "s", "$": "s", "9": "g"}
 #: Pairs that look like one glyph, after the single classes are applied.
-PAIRS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("ci", "d"))
+PAIRS = (("ci", "d"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("vv", "w"))
 
 
 def skeleton(word: Column, *, single: dict[str, str] = SINGLE, pairs: tuple[tuple[str, str], ...] = PAIRS) -> Column:
@@ -25,3 +26,19 @@ def skeleton_of(word: str, single: dict[str, str] = SINGLE, pairs: tuple[tuple[s
     for pair, glyph in pairs:
         out = out.replace(pair, glyph)
     return out
+
+
+def to_leaf(names: DataFrame, inside: list[str], column: str) -> DataFrame:
+    """Each distinct name with the longer one it begins, where only one such name exists inside the same keys.
+
+    In sorted order all extensions of a name follow it directly, so two windows tell its first complete
+    extension and whether a second one exists; no pairs are built. Adds ``leaf`` and ``ambiguous``.
+    """
+    w = W.partitionBy(*inside).orderBy(column)
+    whole = ~F.coalesce(F.startswith(F.lead(column).over(w), F.col(column)), F.lit(False))
+    out = names.withColumn("_end", F.when(whole, F.col(column)))
+    out = out.withColumn("_then", F.first("_end", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    pair = F.when(F.col("_end").isNotNull(), F.struct("_end", "_then"))
+    out = out.withColumn("_leaf", F.first(pair, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    clash = (F.col("_leaf._end") != F.col(column)) & F.startswith(F.col("_leaf._then"), F.col(column))
+    return out.withColumns({"leaf": F.col("_leaf._end"), "ambiguous": F.coalesce(clash, F.lit(False))}).drop("_end", "_then", "_leaf")

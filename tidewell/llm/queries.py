@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import history as history_mod
 from tidewell.llm import origins as origins_mod
+from tidewell.llm import scans as scans_mod
 from tidewell.llm import splitting as splitting_mod
 from tidewell.llm import survivors as survivors_mod
 from tidewell.session import table
@@ -27,6 +28,18 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors_mod.survivors(ledger, groups, scratch)
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("extracted_pages", "image_regions", "extracted_images")]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans_mod.noise(*_scanned(spark, sf_dir), Scratch(spark, "p2"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans_mod.repaired(*_scanned(spark, sf_dir), Scratch(spark, "p2"))
+
+
 def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins_mod.classify(table(spark, sf_dir, "files"), table(spark, sf_dir, "extracted_texts"), Scratch(spark, "p3"))
 
@@ -53,7 +66,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found}
 
 
 P4_SQL = """

@@ -16,10 +16,9 @@ Defined results:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.glyphs import skeleton
+from tidewell.llm.glyphs import skeleton, to_leaf
 from tidewell.llm.truth import discover
 from tidewell.shared import Scratch
 
@@ -48,22 +47,6 @@ def payer_key(name: Column) -> Column:
     return F.when(F.length(text) > 0, text)
 
 
-def to_leaf(names: DataFrame, inside: list[str], column: str) -> DataFrame:
-    """Each distinct name with the longer one it begins, where only one such name exists inside the same keys.
-
-    In sorted order all extensions of a name follow it directly, so two windows tell its first complete
-    extension and whether a second one exists; no pairs are built. Adds ``leaf`` and ``ambiguous``.
-    """
-    w = W.partitionBy(*inside).orderBy(column)
-    whole = ~F.coalesce(F.startswith(F.lead(column).over(w), F.col(column)), F.lit(False))
-    out = names.withColumn("_end", F.when(whole, F.col(column)))
-    out = out.withColumn("_then", F.first("_end", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
-    pair = F.when(F.col("_end").isNotNull(), F.struct("_end", "_then"))
-    out = out.withColumn("_leaf", F.first(pair, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
-    clash = (F.col("_leaf._end") != F.col(column)) & F.startswith(F.col("_leaf._then"), F.col(column))
-    return out.withColumns({"leaf": F.col("_leaf._end"), "ambiguous": F.coalesce(clash, F.lit(False))}).drop("_end", "_then", "_leaf")
-
-
 def _rows(ledger: DataFrame) -> DataFrame:
     blank = lambda c: F.when(F.length(F.trim(F.col(c))) > 0, F.trim(F.col(c)))
     return ledger.select(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import history as history_mod
+from tidewell.llm import leaks as leaks_mod
 from tidewell.llm import origins as origins_mod
 from tidewell.llm import scans as scans_mod
 from tidewell.llm import splitting as splitting_mod
@@ -65,8 +66,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_mod.forerunners(*tables, Scratch(spark, "p5"))
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks_mod.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 P4_SQL = """

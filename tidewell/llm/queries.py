@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import history as history_mod
+from tidewell.llm import languages as languages_mod
 from tidewell.llm import leaks as leaks_mod
 from tidewell.llm import origins as origins_mod
+from tidewell.llm import packing as packing_mod
 from tidewell.llm import scans as scans_mod
 from tidewell.llm import splitting as splitting_mod
 from tidewell.llm import survivors as survivors_mod
@@ -66,6 +68,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_mod.forerunners(*tables, Scratch(spark, "p5"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_mod.fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"), Scratch(spark, "p6"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_mod.fill_rates(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_mod.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -74,8 +84,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_mod.identify(table(spark, sf_dir, "documents"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_mod.segment_languages(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_mod.mislabelled(p8_languages(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_labels": p3_labels, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    named = (
+        p1_found, p1_survivors, p2_found, p2_repaired, p3_found, p3_labels, p4_found, p4_pieces, p5_found,
+        p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_languages, p8_segments,
+    )
+    return {f.__name__: f for f in named}
 
 
 P4_SQL = """

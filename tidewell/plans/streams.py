@@ -1 +1,55 @@
-"""Queries."""
+"""Streaming queries, run to the end of their input."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.plans.registry import query
+from tidewell.shared import shared_folder
+from tidewell.streaming import feeds
+
+
+def _run(stream: DataFrame, label: str, mode: str) -> DataFrame:
+    name = f"{label}_{uuid.uuid4().hex[:8]}"
+    folder = f"{shared_folder(stream.sparkSession)}/tidewell/{name}"
+    if mode != "append":
+        return feeds.drain(stream, name, mode, checkpoint=folder)
+    stream.writeStream.outputMode("append").option("checkpointLocation", folder).trigger(availableNow=True).format("parquet").start(f"{folder}-out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}-out")
+
+
+@query("stream_hourly_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(feeds.windowed_counts(feeds.event_stream(spark, sf_dir)), "hourly", "complete")
+    return out.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_sliding_counts", """SELECT s AS started, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1, 2""")
+def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(feeds.windowed_counts(feeds.event_stream(spark, sf_dir), "1 hour", "30 minutes"), "sliding", "complete")
+    return out.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n")
+
+
+@query("stream_sessions")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(feeds.session_counts(feeds.event_stream(spark, sf_dir)), "sessions", "append").select("user_id", "started", "actions")
+
+
+@query("stream_once")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(feeds.once_within(feeds.event_stream(spark, sf_dir), ["user_id", "event_type"]), "once", "append").select("event_id", "user_id", "event_type")
+
+
+@query("stream_debounced")
+def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(feeds.debounced(feeds.event_stream(spark, sf_dir), "user_id", 1800), "debounced", "append")
+
+
+@query("stream_enriched", "SELECT e.event_id, n.n_name FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id % 25 WHERE e.event_type = 'purchase'")
+def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("nation"), "n_name")
+    rows = feeds.event_stream(spark, sf_dir).where("event_type = 'purchase'").withColumn("nation", F.col("user_id") % 25)
+    return _run(feeds.enriched(rows, names, "nation").select("event_id", "n_name"), "enriched", "append")

@@ -2,9 +2,9 @@
 
 A persistent store remembers, per delivery, what was accepted:
 
-* ``exact``   (kind, key, batch_no, first_key): the smallest record key that carried a fingerprint in a batch;
-  kinds are file hashes, whole-content signatures, and ledger positions;
-* ``tokens``  (bucket, token, sig, size): the chunk hashes of each distinct content, the posting lists;
+* ``exact``   (key, twin, kind, batch_no, first_key): the smallest record key that carried a fingerprint in a
+  batch; kinds are file hashes (0), whole-content signatures (1) and ledger positions (2), key and twin 128 bits;
+* ``tokens``  (token, sig, size): the chunk hashes of each distinct content, the posting lists;
 * ``near``    (sig, other): contents that share at least four fifths of their distinct chunk hashes;
 * ``blooms``  (bucket, layer, bits): Bloom filters, one per bucket of the fingerprint space and delivery.
 
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.survivors import clean_hash
 from tidewell.shared import Scratch, empty
 
-EXACT = "kind string, key string, batch_no int, first_key bigint"
-TOKENS = "bucket int, token bigint, sig string, size int"
-NEAR = "sig string, other string"
+EXACT = "key bigint, twin bigint, kind tinyint, batch_no int, first_key bigint"
+TOKENS = "token bigint, sig bigint, size int"
+NEAR = "sig bigint, other bigint"
 BLOOMS = "bucket int, layer int, bits binary"
 #: Bits a Bloom filter has for each fingerprint, and probes of each (false positives about 1 %).
 BITS, PROBES = 10, 6
@@ -126,56 +126,57 @@ class HistoryStore:
         )
         # contents by signature: number of distinct hashes and two independent folds of them
         whole = words.groupBy("file_key").agg(F.count(F.lit(1)).cast("int").alias("size"), F.bit_xor("token").alias("x"), F.bit_xor("twin").alias("y"))
-        sigs = whole.select("file_key", "size", F.concat_ws(":", F.col("size").cast("string"), F.hex("x"), F.hex("y")).alias("sig"))
+        sigs = whole.select("file_key", "size", F.xxhash64("size", "x", "y").alias("sig"), F.xxhash64("y", "x", "size", F.lit(1)).alias("sig_twin"))
         file = scratch.keep(file.join(sigs, "file_key", "left"), f"files{turn}")
-        row = ledger.where("batch_no is not null and row_key is not null").select(
-            F.col("row_key").cast("bigint").alias("row_key"), F.col("batch_no").cast("int").alias("batch_no"),
-            F.when(clean_hash("doc_hash").isNotNull() & F.col("field_code").isNotNull(), F.concat_ws("\x1f", clean_hash("doc_hash"), F.coalesce(F.col("page").cast("string"), F.lit("-")), "field_code")).alias("place"),
-        )
+        place = F.concat_ws("\x1f", clean_hash("doc_hash"), F.coalesce(F.col("page").cast("string"), F.lit("-")), "field_code")
+        row = ledger.where(F.col("batch_no").isNotNull() & F.col("row_key").isNotNull() & clean_hash("doc_hash").isNotNull() & F.col("field_code").isNotNull())
+
+        def mark(kind: int, df: DataFrame, key: Column, twin: Column, record: str) -> DataFrame:
+            return df.select(key.alias("key"), twin.alias("twin"), F.lit(kind).cast("tinyint").alias("kind"), F.col("batch_no").cast("int").alias("batch_no"), F.col(record).cast("bigint").alias("record_key"))
+
+        double = lambda c: (F.xxhash64(c), F.xxhash64(c, F.lit("second")))
         marks = (
-            file.select(F.lit("hash").alias("kind"), F.col("hash").alias("key"), "batch_no", F.col("file_key").alias("record_key"))
-            .unionByName(file.select(F.lit("content").alias("kind"), F.col("sig").alias("key"), "batch_no", F.col("file_key").alias("record_key")))
-            .unionByName(row.select(F.lit("place").alias("kind"), F.col("place").alias("key"), "batch_no", F.col("row_key").alias("record_key")))
-            .where("key is not null")
+            mark(0, file.where("hash is not null"), *double(F.col("hash")), "file_key")
+            .unionByName(mark(1, file.where("sig is not null"), F.col("sig"), F.col("sig_twin"), "file_key"))
+            .unionByName(mark(2, row, *double(place), "row_key"))
         )
         marks = scratch.keep(marks, f"marks{turn}")
-        firsts = scratch.keep(marks.groupBy("kind", "key", "batch_no").agg(F.min("record_key").alias("first_key")), f"firsts{turn}")
+        same = ["key", "twin", "kind"]
+        firsts = scratch.keep(marks.groupBy(*same, "batch_no").agg(F.min("record_key").alias("first_key")), f"firsts{turn}")
 
         # prescreen: which fingerprints may the store hold
-        number = F.xxhash64("kind", "key")
-        mine = firsts.select("kind", "key").distinct().withColumn("token", number)
-        born = mine.where("kind = 'content'").select(F.col("key").alias("sig"))
-        new = words.join(file.select("file_key", "sig", "size"), "file_key")
-        new = new.groupBy("sig", "size", "token").agg(F.lit(1).alias("one")).select("sig", "size", "token")
-        new = scratch.keep(new, f"contents{turn}")
-        probes = mine.select("token").unionByName(new.select("token")).distinct().withColumn("bucket", self._bucket(F.col("token")))
+        mine = firsts.select(*same).distinct()
+        born = mine.where("kind = 1").select(F.col("key").alias("sig"))
+        # one file stands for all that carry the content
+        bearer = file.where("sig is not null").groupBy("sig", "size").agg(F.min("file_key").alias("file_key"))
+        new = scratch.keep(words.select("file_key", "token").join(bearer, "file_key").select("sig", "size", "token"), f"contents{turn}")
+        probes = mine.select(F.col("key").alias("token")).unionByName(new.select("token")).distinct().withColumn("bucket", self._bucket(F.col("token")))
         seen = scratch.keep(self._seen(scratch.keep(probes, f"probes{turn}")), f"seen{turn}")
         old = self._read("exact", EXACT)
         if turn:
-            hits = mine.join(seen, "token", "left_semi").select("kind", "key")
-            old = old.join(hits, ["kind", "key"], "left_semi")
-            known = old.where("kind = 'content'").select(F.col("key").alias("sig")).distinct()
+            hits = mine.join(seen.withColumnRenamed("token", "key"), "key", "left_semi").select(*same)
+            old = old.join(hits, same, "left_semi")
+            known = old.where("kind = 1").select(F.col("key").alias("sig")).distinct()
             born = born.join(known, "sig", "left_anti")
             new = new.join(born, "sig", "left_semi")
-        timeline = scratch.keep(old.select("kind", "key", "batch_no", "first_key").unionByName(firsts), f"timeline{turn}")
-        timeline = timeline.groupBy("kind", "key", "batch_no").agg(F.min("first_key").alias("first_key"))
-        before = W.partitionBy("kind", "key").orderBy("batch_no").rowsBetween(W.unboundedPreceding, -1)
-        earlier = timeline.withColumn("earlier_key", F.min("first_key").over(before)).where("earlier_key is not null").select("kind", "key", "batch_no", "earlier_key")
+        timeline = scratch.keep(old.select(*same, "batch_no", "first_key").unionByName(firsts), f"timeline{turn}")
+        before = W.partitionBy(*same).orderBy("batch_no").rowsBetween(W.unboundedPreceding, -1)
+        earlier = timeline.withColumn("earlier_key", F.min("first_key").over(before)).where("earlier_key is not null").select(*same, "batch_no", "earlier_key")
 
         near = self._near(new, seen, scratch)
         edges = self._add(near, "near")
         # contents near those of this delivery, and when they were first carried
         edges = self._read("near", NEAR).unionByName(edges) if turn else edges
-        asked = firsts.where("kind = 'content'").select(F.col("key").alias("sig"), "batch_no").join(edges, "sig")
-        dated = self._read("exact", EXACT).unionByName(firsts).where("kind = 'content'").select(F.col("key").alias("other"), F.col("batch_no").alias("other_batch"), "first_key")
+        asked = firsts.where("kind = 1").select(F.col("key").alias("sig"), "twin", "batch_no").join(edges, "sig")
+        dated = self._read("exact", EXACT).unionByName(firsts).where("kind = 1").select(F.col("key").alias("other"), F.col("batch_no").alias("other_batch"), "first_key")
         by_near = (
             asked.join(dated, "other").where("other_batch < batch_no")
-            .groupBy(F.lit("content").alias("kind"), F.col("sig").alias("key"), "batch_no").agg(F.min("first_key").alias("earlier_key"))
+            .groupBy(F.col("sig").alias("key"), "twin", F.lit(1).cast("tinyint").alias("kind"), "batch_no").agg(F.min("first_key").alias("earlier_key"))
         )
-        best = earlier.unionByName(by_near).groupBy("kind", "key", "batch_no").agg(F.min("earlier_key").alias("earlier_key"))
+        best = earlier.unionByName(by_near).groupBy(*same, "batch_no").agg(F.min("earlier_key").alias("earlier_key"))
         found = (
-            marks.join(best, ["kind", "key", "batch_no"])
-            .groupBy(F.when(F.col("kind") == "place", "ledger").otherwise("file").alias("record_kind"), F.col("record_key").alias("later_key"))
+            marks.join(best, [*same, "batch_no"])
+            .groupBy(F.when(F.col("kind") == 2, "ledger").otherwise("file").alias("record_kind"), F.col("record_key").alias("later_key"))
             .agg(F.min("earlier_key").alias("earlier_key"))
             .select("record_kind", "earlier_key", "later_key")
         )
@@ -183,7 +184,7 @@ class HistoryStore:
 
         # update: facts and a new layer of filters
         self._add(firsts, "exact")
-        self._add(new.select(self._bucket(F.col("token")).alias("bucket"), "token", "sig", "size"), "tokens")
+        self._add(new, "tokens")
 
         def layer(group: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "layer": [turn], "bits": [bloom_of(group["token"].to_numpy(dtype=np.int64))]})
@@ -191,7 +192,7 @@ class HistoryStore:
         fresh = self.spark.read.schema("token bigint, bucket int").parquet(f"{scratch.root}/probes{turn}")
         self._add(fresh.groupBy("bucket").applyInPandas(layer, BLOOMS), "blooms")
         self.deliveries += 1
-        for name in ("files", "marks", "firsts", "contents", "probes", "seen", "timeline", "picked"):
+        for name in ("files", "marks", "firsts", "contents", "probes", "seen", "timeline", "picked", "pairs"):
             scratch.drop(f"{name}{turn}")
         return found
 
@@ -212,8 +213,10 @@ class HistoryStore:
         other = lists.select("token", F.col("sig").alias("other"), F.col("size").alias("other_size"))
         fits = (F.col("other_size") * under >= F.col("size") * over) & (F.col("size") * under >= F.col("other_size") * over)
         pairs = picked.join(other, "token").where(fits & (F.col("sig") != F.col("other"))).groupBy("sig", "size", "other", "other_size").agg(F.lit(1).alias("one"))
-        mine = new.select("sig", "token")
-        theirs = lists.select(F.col("sig").alias("other"), "token")
+        pairs = scratch.keep(pairs.drop("one"), f"pairs{turn}")
+        # a pair with a rare hash in common is likely near; only their hashes are counted
+        mine = new.select("sig", "token").join(pairs.select("sig").distinct(), "sig", "left_semi")
+        theirs = lists.select(F.col("sig").alias("other"), "token").join(pairs.select("other").distinct(), "other", "left_semi")
         shared = pairs.join(mine, "sig").join(theirs, ["other", "token"]).groupBy("sig", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
         good = shared.where(F.col("both") * under >= (F.col("size") + F.col("other_size") - F.col("both")) * over)
         return good.select("sig", "other").unionByName(good.select(F.col("other").alias("sig"), F.col("sig").alias("other"))).distinct()

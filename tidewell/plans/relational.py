@@ -66,12 +66,12 @@ def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("running_spend", """SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, lag(o_orderkey) OVER w AS before, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS quartile,
-  round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS mean3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""".replace("sum(o_totalprice) OVER w", "sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+  round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS sum3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""".replace("sum(o_totalprice) OVER w", "sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return orders(spark, sf_dir).select(
         "o_orderkey", F.round(F.sum("o_totalprice").over(w.rowsBetween(W.unboundedPreceding, 0)), 2).alias("running"), F.lag("o_orderkey").over(w).alias("before"),
-        F.ntile(4).over(w).cast("bigint").alias("quartile"), F.round(F.avg("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("mean3"),
+        F.ntile(4).over(w).cast("bigint").alias("quartile"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("sum3"),
     )
 
 

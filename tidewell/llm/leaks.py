@@ -1,8 +1,8 @@
 """Problem 7: passages of evaluation items inside training documents.
 
 Windows of a size proportional to the item (a quarter of its words, from a few fixed sizes) are fingerprinted by
-SimHash over their weighted words, at every position of an item and at every position of a document that holds
-enough of the items' vocabulary. A multi-index over eight blocks of the 64 bits finds every item window within
+SimHash over their weighted words, at every position of an item and at every position of a document seven tenths of
+whose words are words of the items. A multi-index over eight blocks of the 64 bits finds every item window within
 Hamming distance seven of a document window, for two such fingerprints must agree in a whole block. Each document
 and item that meet are then compared exactly: the words of the passage that the document holds in order and in runs
 of two or more, close together, counted and weighted by how rare they are among the documents.
@@ -62,7 +62,6 @@ class ItemIndex:
         self.vocab = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         names = list(self.vocab)
         self.weight = np.array([np.log1p((documents + 1) / (1 + df.get(w, 0))) for w in names] + [1.0], dtype=np.float32)
-        self.telling = np.array([df.get(w, 0) * 50 <= documents for w in names] + [False])
         self.row = np.array([_row(w) for w in names] + [0], dtype=np.int64)
         self.ids = [np.array([self.vocab[w] for w in ws], dtype=np.int64) for ws in self.words]
         self.size = [max(s for s in SIZES if s <= max(4, len(w) // 4)) for w in self.words]
@@ -128,14 +127,12 @@ class ItemIndex:
         get, none = self.vocab.get, len(self.vocab)
         ids = np.array([get(w, none) for w in found], dtype=np.int64)
         known = np.concatenate([[0], np.cumsum(ids != none)])
-        telling = np.concatenate([[0], np.cumsum(self.telling[ids])])
         hits: dict[int, list[int]] = {}
         for size in self.by_size:
             if len(ids) < size:
                 continue
             inside = known[size:] - known[:-size]
-            told = telling[size:] - telling[:-size]
-            starts = np.flatnonzero((inside * 10 >= size * 6) & (told >= 2))
+            starts = np.flatnonzero(inside * 10 >= size * 7)
             for k in range(0, len(starts), 4096):
                 part = starts[k : k + 4096]
                 low, high = int(part[0]), int(part[-1]) + size

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidewell.plans import catalogue, relational, resolving, retrieval, streams, texts  # noqa: F401
+    from tidewell.plans import catalogue, ranking, relational, resolving, retrieval, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

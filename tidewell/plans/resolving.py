@@ -144,3 +144,25 @@ def debounced_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("ts") - F.lag("ts").over(order) <= F.expr("interval 30 minutes")
     events = table(spark, sf_dir, "events").withColumn("s", F.when(gap, 0).otherwise(1)).withColumn("burst", F.sum("s").over(order))
     return events.groupBy("user_id", "burst").agg(F.count(F.lit(1)).alias("actions"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_action"))
+
+
+FORM_SQL = r"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS source, text FROM documents WHERE regexp_matches(text, '(?m)^Form ([A-Z0-9-]+) for the year (\d{4})')),
+  f AS (SELECT source, regexp_extract(text, '(?m)^Form ([A-Z0-9-]+) for the year (\d{4})', 1) AS form_type, CAST(regexp_extract(text, '(?m)^Form ([A-Z0-9-]+) for the year (\d{4})', 2) AS INTEGER) AS tax_year,
+    nullif(trim(regexp_extract(text, '(?m)^(?:Employer|Payer|Taxpayer): (.+)$', 1)), '') AS entity_name, unnest(regexp_extract_all(text, '(?m)^((?:Box|Line) \w+ [a-z ]+|Totals): (-?[\d., $]+)$', 1)) AS field_label, unnest(regexp_extract_all(text, '(?m)^((?:Box|Line) \w+ [a-z ]+|Totals): (-?[\d., $]+)$', 2)) AS v FROM t)
+  SELECT source, form_type, tax_year, entity_name, field_label, trim(v) AS raw_value, TRY_CAST(regexp_replace(v, '[^0-9.\-]', '', 'g') AS DECIMAL(18,2)) AS normalized_decimal, substr(sha1(source || '|' || form_type || '|' || tax_year || '|' || field_label), 1, 24) AS record_id FROM f"""
+
+
+@query("form_facts", FORM_SQL)
+def form_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.operators.forms import form_facts as facts
+
+    return facts(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
+
+
+@query("csv_rank_lookup", r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^(CSV row \d+: .*)$', 1)) AS line FROM documents WHERE contains(text, 'CSV row '))
+  SELECT doc_id, line FROM (SELECT doc_id, line, contains(line, 'Total=1 |') AS hit FROM r) WHERE hit ORDER BY doc_id, line LIMIT 5""")
+def csv_rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables in texts whose rank column is 1, the first five of the catalogue."""
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("CSV row ")))
+    lines = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(CSV row \d+: .*)$"), F.lit(1))).alias("line"))
+    return lines.where(F.contains("line", F.lit("Total=1 |"))).orderBy("doc_id", "line").limit(5)

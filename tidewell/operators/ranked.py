@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.shared import Scratch
+
 #: Distance that a row without one is sorted by.
 FAR = 999.0
 
@@ -27,6 +29,16 @@ def _names(order: tuple[Column | str, ...]) -> set[str]:
     return {"pos"} if any("pos" in str(o) for o in order) else set()
 
 
+def numbered(df: DataFrame, scratch: Scratch, *order: str) -> DataFrame:
+    """``df`` with ``pos`` renumbered from 0 in the given order of columns, for streams of any length: ranges of the order
+    are numbered apart, each from the number of rows in the ranges before it. ``order`` must not tie."""
+    ranges = scratch.keep(df.drop("pos").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # one row a partition
+    before = F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    told = ranges.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order))).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return told.withColumn("pos", F.col("_before") + F.col("_n") - 1).drop("_part", "_n", "_before")
+
+
 def top(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     """The first ``k`` rows in the given order, planned as a take-ordered, with a fresh ``pos``."""
     return with_pos(df.orderBy(*order).limit(k), *order)

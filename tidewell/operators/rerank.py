@@ -35,9 +35,9 @@ def near_and_named(stream: DataFrame, question: str, near: float, fallback: int
     asked = words(F.lit(question))
     best = stream.groupBy("source").agg(F.min("dist").alias("best"))
     best = best.withColumn("named", F.arrays_overlap(asked, words(F.regexp_replace("source", r"[^A-Za-z0-9]+", " "))) & (F.col("best") <= near))
-    some = F.max(F.coalesce("named", F.lit(False)).cast("int")).over(W.partitionBy())
-    rank = F.row_number().over(W.orderBy(F.col("best").asc_nulls_last(), "source"))
-    kept = best.withColumns({"_some": some, "_rank": rank}).where("(_some = 1 and named) or (_some = 0 and _rank <= " + str(int(fallback)) + ")").select("source")
+    named = best.where("named").select("source")
+    nearest = best.orderBy(F.col("best").asc_nulls_last(), "source").limit(int(fallback)).select("source", F.lit(1).alias("_one"))
+    kept = named.unionByName(nearest.join(F.broadcast(named.limit(1).select(F.lit(1).alias("_one"))), "_one", "left_anti").select("source"))
     return stream.join(kept, "source", "left_semi")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,15 @@ from tidewell.shared import shared_folder
 from tidewell.streaming import feeds
 
 
-def _run(stream: DataFrame, label: str, mode: str) -> DataFrame:
+def _run(stream: DataFrame, label: str, mode: str, rest: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """What the stream wrote by the end of its input, and what ``rest`` makes of the checkpoint, where states are still open."""
     name = f"{label}_{uuid.uuid4().hex[:8]}"
     folder = f"{shared_folder(stream.sparkSession)}/tidewell/{name}"
     if mode != "append":
         return feeds.drain(stream, name, mode, checkpoint=folder)
     stream.writeStream.outputMode("append").option("checkpointLocation", folder).trigger(availableNow=True).format("parquet").start(f"{folder}-out").awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}-out")
+    out = stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}-out")
+    return out if rest is None else out.unionByName(rest(folder))
 
 
 @query("stream_hourly_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -40,7 +43,9 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_once")
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(feeds.once_within(feeds.event_stream(spark, sf_dir), ["user_id", "event_type"]), "once", "append").select("event_id", "user_id", "event_type")
+    """One event of a user and type within an hour, by the time of the events."""
+    stream = feeds.once_within(feeds.event_stream(spark, sf_dir), ["user_id", "event_type"], 3600)
+    return _run(stream, "once", "append", lambda folder: feeds.once_rest(spark, folder, stream, 3600)).select("event_id", "user_id", "event_type")
 
 
 @query("stream_debounced")

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
+#: Before the time of any event, in microseconds.
+NEVER = -(2**62)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream with an event time that takes watermarks."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -30,8 +34,69 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return made.select("user_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "actions")
 
 
-def once_within(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def _first_in_gap(kept: int, waiting: list[tuple[int, int]], gap: int) -> tuple[int, list[int]]:
+    """The last kept time and the ids kept of events (time, id) in order: each that comes ``gap`` or more after the last one kept."""
+    ids = []
+    for at, event in waiting:
+        if at - kept >= gap:
+            kept = at
+            ids.append(event)
+    return kept, ids
+
+
+def once_within(events: DataFrame, keys: list[str], gap_seconds: int, late: str = "1 hour") -> DataFrame:
+    """(event_id, keys): the events, in order of their time, with none of their keys kept in the gap before them.
+
+    An event waits in the state until the watermark has passed it, as an earlier one may still come, so that the result
+    does not depend on how the input is cut into micro-batches; what still waits at the end of the input is in
+    :func:`once_rest`. State is the last kept time and the waiting events of each key."""
+    gap = gap_seconds * 1_000_000
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        kept, times, ids = state.get if state.exists else (NEVER, [], [])
+        waiting, out = list(zip(times, ids)), []
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += zip(rows["at"].tolist(), rows["event_id"].tolist())
+            out = [x[1] for x in waiting if x[0] == NEVER]  # without a time nothing tells that it is a repetition
+            waiting = [x for x in waiting if x[0] != NEVER]
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        kept, now = _first_in_gap(kept, [x for x in waiting if x[0] <= passed], gap)
+        out += now
+        waiting = [x for x in waiting if x[0] > passed]
+        if not waiting and passed - kept >= gap:
+            state.remove()
+        else:
+            state.update((kept, [x[0] for x in waiting], [x[1] for x in waiting]))
+            until = waiting[0][0] if waiting else kept + gap
+            state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({"event_id": out} | {c: [v] * len(out) for c, v in zip(keys, k)})
+
+    told = events.withWatermark("ts", late).select(*keys, "ts", F.coalesce(F.unix_micros("ts"), F.lit(NEVER)).alias("at"), "event_id")
+    schema = ", ".join(f"{c} {told.schema[c].dataType.simpleString()}" for c in ["event_id", *keys])
+    return told.groupBy(*keys).applyInPandasWithState(run, schema, "kept bigint, times array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def once_rest(spark: SparkSession, checkpoint: str, stream: DataFrame, gap_seconds: int) -> DataFrame:
+    """What :func:`once_within` still holds back at the end of its input, decided without waiting."""
+    keys, gap = stream.columns[1:], gap_seconds * 1_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows["event_id"] = [_first_in_gap(kept, sorted(zip(times, ids)), gap)[1] for kept, times, ids in zip(rows["kept"], rows["times"], rows["ids"])]
+            yield rows[["event_id", *keys]]
+
+    held = open_states(spark, checkpoint, keys).where(F.size("times") > 0)
+    schema = ", ".join(f"{c} {'array<bigint>' if c == 'event_id' else stream.schema[c].dataType.simpleString()}" for c in stream.columns)
+    return held.mapInPandas(run, schema).withColumn("event_id", F.explode("event_id"))
+
+
+def open_states(spark: SparkSession, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Keys and state of the groups that a stopped query of one stateful operator left in its checkpoint."""
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(*[F.col(f"key.{n}") for n in keys], "value.groupState.*")
 
 
 def debounced(events: DataFrame, key: str, gap_seconds: int, late: str = "1 hour") -> DataFrame:

@@ -49,3 +49,28 @@ def test_once_does_not_depend_on_micro_batches(spark, tmp_path):
 
     brute = sorted(once([{"event_id": e, "user_id": u, "event_type": "", "ts": t} for e, u, t in sorted(rows, key=lambda r: (r[2], r[0]))], datetime.timedelta(hours=1)))
     assert run(1) == run(99) == brute
+
+
+def bursts(rows, gap, closes):
+    """[user, first ts, last event type, events, last ts] of the runs of a user's events, apart by ``closes(distance, gap)``."""
+    out, open_ = [], {}
+    for r in rows:
+        b = open_.get(r["user_id"])
+        if b is None or closes(r["ts"] - b[4], gap):
+            b = open_[r["user_id"]] = [r["user_id"], r["ts"], None, 0, None]
+            out.append(b)
+        b[2:] = [r["event_type"], b[3] + 1, r["ts"]]
+    return out
+
+
+def test_open_sessions_are_there(spark):
+    expected = bursts(events(spark), datetime.timedelta(minutes=30), lambda d, gap: d >= gap)
+    got = registry.queries()["stream_sessions"](spark, FOLDER).collect()
+    assert sorted((r["user_id"], r["started"], r["actions"]) for r in got) == sorted((b[0], b[1], b[3]) for b in expected)
+
+
+def test_open_bursts_are_there(spark):
+    milli = lambda t: t.replace(microsecond=t.microsecond // 1000 * 1000)
+    expected = bursts(events(spark), datetime.timedelta(minutes=30), lambda d, gap: d > gap)
+    got = registry.queries()["stream_debounced"](spark, FOLDER).collect()
+    assert sorted((r["user_id"], milli(r["last_ts"]), r["last_action"], r["actions"]) for r in got) == sorted((b[0], milli(b[4]), b[2], b[3]) for b in expected)

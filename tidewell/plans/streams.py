@@ -17,6 +17,10 @@ def _run(stream: DataFrame, label: str, mode: str, rest: Callable[[str], DataFra
     """What the stream wrote by the end of its input, and what ``rest`` makes of the checkpoint, where states are still open."""
     name = f"{label}_{uuid.uuid4().hex[:8]}"
     folder = f"{shared_folder(stream.sparkSession)}/tidewell/{name}"
+    if mode == "whole":  # complete, but written by the executors: for results that may be as large as the input
+        replace = lambda made, _: made.write.mode("overwrite").parquet(f"{folder}-out")
+        stream.writeStream.outputMode("complete").option("checkpointLocation", folder).trigger(availableNow=True).foreachBatch(replace).start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}-out")
     if mode != "append":
         return feeds.drain(stream, name, mode, checkpoint=folder)
     stream.writeStream.outputMode("append").option("checkpointLocation", folder).trigger(availableNow=True).format("parquet").start(f"{folder}-out").awaitTermination()
@@ -38,7 +42,8 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_sessions")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(feeds.session_counts(feeds.event_stream(spark, sf_dir)), "sessions", "append").select("user_id", "started", "actions")
+    """All sessions, those that the end of the input leaves open too."""
+    return _run(feeds.session_counts(feeds.event_stream(spark, sf_dir), late=None), "sessions", "whole").select("user_id", "started", "actions")
 
 
 @query("stream_once")
@@ -50,7 +55,9 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_debounced")
 def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(feeds.debounced(feeds.event_stream(spark, sf_dir), "user_id", 1800), "debounced", "append")
+    """The last action of every burst, those that the end of the input leaves open too."""
+    stream = feeds.debounced(feeds.event_stream(spark, sf_dir), "user_id", 1800)
+    return _run(stream, "debounced", "append", lambda folder: feeds.debounced_rest(spark, folder, "user_id"))
 
 
 @query("stream_enriched", "SELECT e.event_id, n.n_name FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id % 25 WHERE e.event_type = 'purchase'")

@@ -29,8 +29,9 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None =
     return made.select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "event_type", "n", "total")
 
 
-def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    made = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("actions"))
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Sessions of a user; without ``late`` no row is too late and no session closes, for complete mode."""
+    made = (events.withWatermark("ts", late) if late else events).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("actions"))
     return made.select("user_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "actions")
 
 
@@ -103,7 +104,7 @@ def debounced(events: DataFrame, key: str, gap_seconds: int, late: str = "1 hour
     """(key, last_action, actions, last_ts): the last action of each burst of a key, once it has been silent for the gap.
 
     State is one row per key. A burst is emitted when a later event of the key shows that it ended or when the watermark
-    passes its end, so a lost task repeats nothing."""
+    passes its end, so a lost task repeats nothing; bursts still open at the end of the input are in :func:`debounced_rest`."""
     gap = gap_seconds * 1000
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
@@ -128,6 +129,12 @@ def debounced(events: DataFrame, key: str, gap_seconds: int, late: str = "1 hour
     return kept.groupBy(key).applyInPandasWithState(run, f"{key} bigint, last_action string, actions bigint, last_ts timestamp", "action string, count bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def debounced_rest(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """The bursts that :func:`debounced` still holds open at the end of its input."""
+    held = open_states(spark, checkpoint, [key]).where("count > 0")
+    return held.select(key, F.col("action").alias("last_action"), F.col("count").alias("actions"), F.timestamp_millis("last").alias("last_ts"))
+
+
 def enriched(events: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """A stream joined with a static table."""
     return events.join(facts, key, "left")

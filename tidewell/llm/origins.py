@@ -72,19 +72,19 @@ def _evidence(**points: list[tuple[Column, float]]) -> list[Column]:
 
 def text_features(read: DataFrame) -> DataFrame:
     """``read`` (text, project) with what its texts show, each computed once: blanks, digits, longest line, marks, repetition."""
-    text, head = F.col("text"), F.substring("text", 1, 1200)
+    text = F.col("text")
     mark = (
         r"(?im)^\W{0,6}(?:<auto-generated|@generated\b|code generated by\b|auto(?:matically)?[- ]?generated (?:file|code|by|from|on)\b"
         r"|(?:this )?file (?:was|is) (?:auto\w*|produced|machine)[- ]?(?:automatically |generated|made)|generated (?:by|from) )|do not edit\.?\s*$|manual edits are overwritten"
     )
-    holder = F.lower(F.regexp_extract(head, r"(?i)copyright (?:\(c\) )?(?:[0-9, -]+ )?(?:the )?([\w.-]+) (?:contributors|authors|project|developers)", 1))
+    holder = F.lower(F.regexp_extract(text, r"(?i)copyright (?:\(c\) )?(?:[0-9, -]+ )?(?:the )?([\w.-]+) (?:contributors|authors|project|developers)", 1))
     size = F.length(text)
     out = read.withColumns({
         "_there": F.coalesce(F.length(F.trim(text)) > 0, F.lit(False)),
         "_lines": F.filter(F.split(text, r"\r?\n"), lambda x: F.length(F.trim(x)) > 0),
         "_digits": (size - F.length(F.translate(text, "0123456789", ""))) / size,
         "_blanks": (size - F.length(F.translate(text, " \t\n\r", ""))) / size,
-        "_marked": F.regexp_like(head, F.lit(mark)),
+        "_marked": F.regexp_like(text, F.lit(mark)),
         "_holder": holder,
         "_run": F.regexp_like(text, F.lit(r"[A-Za-z0-9+/=]{400}")),
     })
@@ -100,7 +100,7 @@ def text_features(read: DataFrame) -> DataFrame:
 
 
 def text_evidence() -> list[Column]:
-    """What the features of a text, or of its head, say about its origin; a null or blank text says nothing."""
+    """What the features of a whole text say about its origin; a null or blank text says nothing."""
     there, marked = F.col("_there"), F.col("_marked")
     foreign = (F.col("_holder") != "") & ~F.coalesce(F.col("_holder") == F.lower("project"), F.lit(False))
     packed = (F.col("_longest") > 400) & (F.col("_blanks") < 0.1)

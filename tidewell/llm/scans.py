@@ -154,6 +154,12 @@ def misread_words(recs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(best, "misread")
 
 
+def _compounds(recs: DataFrame) -> DataFrame:
+    """The compounds that the corpus writes with their hyphen inside lines, in lower case."""
+    inside = recs.select(F.explode(F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}+-\p{L}+)"), F.lit(1)), lambda x: F.lower(x))).alias("compound"))
+    return inside.groupBy("compound").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("compound")
+
+
 def broken_words(recs: DataFrame, scratch: Scratch) -> DataFrame:
     """(record_kind, record_key) of records with a word broken over a line end."""
     always = rf"\p{{L}}[{MARKS.replace('-', '')}]\h*(?:\r?\n|$)"
@@ -162,8 +168,7 @@ def broken_words(recs: DataFrame, scratch: Scratch) -> DataFrame:
     found = recs.where(F.regexp_like("text", F.lit(plain))).select(
         "record_kind", "record_key", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(plain), F.lit(1)).alias("l"), F.regexp_extract_all("text", F.lit(plain), F.lit(2)).alias("r"))).alias("p")
     ).select("record_kind", "record_key", F.lower(F.concat_ws("-", "p.l", "p.r")).alias("compound"))
-    inside = recs.select(F.explode(F.transform(F.regexp_extract_all("text", F.lit(r"(\p{L}+-\p{L}+)"), F.lit(1)), lambda x: F.lower(x))).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("compound")
-    return sure.unionByName(found.join(inside, "compound", "left_anti").select("record_kind", "record_key")).distinct()
+    return sure.unionByName(found.join(_compounds(recs), "compound", "left_anti").select("record_kind", "record_key")).distinct()
 
 
 def noise(pages: DataFrame, regions: DataFrame, images: DataFrame, scratch: Scratch) -> DataFrame:
@@ -198,7 +203,12 @@ def repaired(pages: DataFrame, regions: DataFrame, images: DataFrame, scratch: S
     gone = edge & (F.coalesce("runs", F.lit(False)) | (F.regexp_like("line", F.lit(ALONE)) & ((F.col("at") == F.col("first")) | (F.col("at") == F.col("last")))))
     line = line.where(~gone).withColumn("paragraph", F.sum((F.col("line") == "").cast("int")).over(whole))
     line = line.where("line <> ''").withColumn("broken", F.regexp_like("line", F.lit(rf"\p{{L}}[{MARKS}]$")))
-    glued = F.when(F.col("broken"), F.regexp_replace("line", rf"[{MARKS}]$", "")).otherwise(F.concat("line", F.lit(" ")))
+    # a compound keeps its hyphen where its second part begins the next line
+    after = F.lead("line").over(W.partitionBy("record_kind", "record_key", "paragraph").orderBy("at"))
+    halves = F.regexp_extract("line", r"(\p{L}+)-$", 1), F.regexp_extract(after, r"^(\p{Ll}+)", 1)
+    line = line.withColumn("compound", F.coalesce(F.when((halves[0] != "") & (halves[1] != ""), F.lower(F.concat_ws("-", *halves))), F.concat(F.lit(" "), F.col("record_key").cast("string"))))
+    line = line.join(_compounds(recs).withColumn("kept", F.lit(True)), "compound", "left")
+    glued = F.when(F.col("kept"), F.col("line")).when(F.col("broken"), F.regexp_replace("line", rf"[{MARKS}]$", "")).otherwise(F.concat("line", F.lit(" ")))
     flow = line.groupBy("record_kind", "record_key", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", glued.alias("piece")))), lambda x: x["piece"]), "").alias("text"))
     flow = flow.join(misread, ["record_kind", "record_key"], "left")
     parts = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}!|$]+|[^\p{L}\p{N}!|$]+)"), F.lit(1))

@@ -19,10 +19,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a local one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset on a local master (tests) one of our own.
+
+    On a cluster a folder of one machine would lose what other executors write, so there the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         own = tempfile.TemporaryDirectory(prefix="tidewell-", ignore_cleanup_errors=True)
         atexit.register(own.cleanup)
@@ -30,6 +34,46 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds, sorted; a missing folder holds nothing."""
+    fs, at = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that must not be there yet; it appears whole or not at all, so it can commit a larger write."""
+    fs, at = _file_system(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    _, part = _file_system(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(part, False)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    if not fs.rename(part, at):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder where it is there."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     """A table of ``schema`` (a DDL string) without rows, made without any Python worker."""
     fields = T.StructType.fromDDL(schema).fields

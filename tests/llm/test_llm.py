@@ -7,14 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import glyphs, history, languages, leaks, origins, packing, queries, scans, splitting, survivors
+from tidewell.llm import glyphs, languages, leaks, origins, packing, queries, scans, splitting, survivors
 from tidewell.shared import Scratch, empty
 
 FOLDER = "/root/testdata/sf0.001"
 LEDGER = """row_key bigint, silo string, source string, page int, doc_hash string, tax_year int, form_type string, field_code string,
  entity_name string, normalized_decimal decimal(18,2), extractor_tier string, confidence double, created_at timestamp, support int, value string"""
 FILES = "file_key bigint, silo string, path string, size bigint, hash string, batch_no int, label string"
-CHUNKS = "file_key bigint, chunk_hash string, sig string"
 TEXTS = "file_key bigint, text string"
 PAGES = "page_key bigint, file_key bigint, page_num int, text string, word string"
 REGIONS = "region_key bigint, text string"
@@ -175,56 +174,6 @@ def test_pieces_give_the_text_back(spark):
     assert splitting.split_records(table.where("false")).count() == 0
 
 
-# 5 -------------------------------------------------------------------------------------------------
-
-
-def forerunners_by_force(files, chunks, ledger_rows):
-    bare = lambda h: (h or "").strip().lower().removeprefix("md5:")
-    sets = {}
-    for k, h, _ in chunks:
-        if h:
-            sets.setdefault(k, set()).add(h.lower())
-    out = set()
-    for f in files:
-        best = [g[0] for g in files if None not in (g[5], f[5]) and g[5] < f[5] and ((bare(g[4]) and bare(g[4]) == bare(f[4])) or (sets.get(g[0]) and sets.get(f[0]) and 5 * len(sets[g[0]] & sets[f[0]]) >= 4 * len(sets[g[0]] | sets[f[0]])))]
-        if best:
-            out.add(("file", min(best), f[0]))
-    for r in ledger_rows:
-        best = [q[0] for q in ledger_rows if q[4] < r[4] and bare(q[1]) and bare(q[1]) == bare(r[1]) and q[2] == r[2] and q[3] and q[3] == r[3]]
-        if best:
-            out.add(("ledger", min(best), r[0]))
-    return out
-
-
-@pytest.mark.parametrize("deliveries", [1, 4])
-def test_history(spark, scratch, deliveries):
-    rng = random.Random(5)
-    base = [[f"{b:02d}{c:02d}" for c in range(rng.randint(1, 12))] for b in range(6)]
-    files, chunks = [], []
-    for k in range(1, 60):
-        words = list(rng.choice(base))
-        for _ in range(rng.randint(0, 3)):
-            words[rng.randrange(len(words))] = f"n{rng.randint(0, 9)}"
-        files.append((k, "s", "p", 1, rng.choice([None, "", "AB", "md5:ab", f"h{k}"]), rng.choice([0, 1, 2, 3, None]), "x"))
-        chunks += [(k, w, "x") for w in words for _ in range(rng.randint(1, 2))]
-    rows = [(k, rng.choice([None, "", "D1", "md5:d1", "d2"]), rng.choice([1, 2, None]), rng.choice(["f", None]), rng.randint(0, 3)) for k in range(1, 30)]
-    table = spark.createDataFrame(rows, "row_key bigint, doc_hash string, page int, field_code string, batch_no int")
-    found = history.forerunners(spark.createDataFrame(files, FILES), spark.createDataFrame(chunks + [(1, None, "x"), (2, "", "x")], CHUNKS), table, scratch, deliveries=deliveries)
-    assert pairs(found) == forerunners_by_force(files, chunks, rows)
-
-
-def test_no_history(spark, scratch):
-    none = history.forerunners(empty(spark, FILES), empty(spark, CHUNKS), empty(spark, "row_key bigint, doc_hash string, page int, field_code string, batch_no int"), scratch)
-    assert none.count() == 0
-
-
-def test_bloom_holds_all_it_was_given():
-    rng = np.random.default_rng(1)
-    held, other = rng.integers(-(2**62), 2**62, 5000), rng.integers(-(2**62), 2**62, 5000)
-    bits = history.bloom_of(held)
-    assert history.in_bloom(held, bits).all() and history.in_bloom(other, bits).mean() < 0.03
-
-
 # 6 -------------------------------------------------------------------------------------------------
 
 

@@ -1,236 +1,318 @@
 """Problem 5: new batches against everything accepted before.
 
-A persistent store remembers, per delivery, what was accepted:
-
-* ``exact``   (key, twin, kind, batch_no, first_key): the smallest record key that carried a fingerprint in a
-  batch; kinds are file hashes (0), whole-content signatures (1) and ledger positions (2), key and twin 128 bits;
-* ``tokens``  (token, sig, size): the chunk hashes of each distinct content, the posting lists;
-* ``near``    (sig, other): contents that share at least four fifths of their distinct chunk hashes;
-* ``blooms``  (bucket, layer, bits): Bloom filters, one per bucket of the fingerprint space and delivery.
-
-A delivery is reduced to distinct contents and winnowed: of m distinct chunk hashes only the
-m - ceil(0.8 m) + 1 that are rarest in the store are looked up, which any content with four fifths in common must
-hit. The Bloom filters of their buckets first sort out fingerprints the store cannot hold; positives are
-joined with the posting lists, their shared coverage is counted exactly, and store and filters get a new layer.
-The history is never read whole for a lookup's sake, only joined by fingerprint, and no content is
-compared with all others: copies meet by signature, near copies by a rare chunk hash and a fitting size.
+A persistent store remembers what was accepted. It is a folder of immutable layers, one for each batch:
+
+* ``exact``    (key, twin, kind, batch_no, first_key): the smallest record key that carried a fingerprint in the batch;
+  kinds are file hashes (0), whole-content signatures (1) and ledger positions (2), key and twin are 128 bits;
+* ``postings`` (token, class, sig, size): the chunk hashes of each content new to the store, by chunk hash; ``class`` is
+  the content's size in steps of a quarter, so that a frequent chunk hash is split by size and only sizes that may fit
+  are joined;
+* ``sets``     (sig, token): the same rows by content, for counting what two contents share;
+* ``filter``   (block, w0..w3): a partitioned Bloom filter of the layer's fingerprints: four slices of 64 bits a block,
+  one bit of each set for a fingerprint, built by bit_or with map-side sums.
+
+All but the filter are partitioned by buckets of the fingerprint, as many as the layer's size asks for. A batch is
+first sent through the filters alone (some 21 bits a fingerprint held); what no filter may hold is new, and
+only the layers and buckets of the rest are read. The filters winnow as well: of m distinct chunk hashes any
+content with four fifths in common must hold one of the m - ceil(0.8 m) + 1 rarest; those that no filter holds are the
+rarest there are, so only where fewer than that many are unknown the rarest known ones are looked up. The shared
+coverage of the candidates is then counted exactly. No content is compared with all others.
+
+A layer counts once its commit file is written, last of all: an interrupted batch leaves files that no commit
+names. A store opened again, by any session, sees all committed layers; nothing committed is ever written over. Where
+more than ``most_layers`` layers have gathered, they are merged into one (:meth:`compact`).
 
 Defined results: null batch_no: the record is not compared; null or blank hashes, doc_hash and chunk_hash are no
 fingerprints (a null ledger page equals a null page, a null field_code equals nothing); repeated rows count once;
-empty deliveries are accepted and change nothing; further columns are ignored.
+an empty batch is accepted and changes nothing; a batch offered again, or after later ones, has only smaller batch_no as
+forerunners, and records accepted before are not judged again; chunks of files that are not in the batch and
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.survivors import clean_hash
-from tidewell.shared import Scratch, empty
+from tidewell.llm.hashes import clean_hash
+from tidewell.shared import Scratch, empty, names_in, read_text, remove, write_once
 
 EXACT = "key bigint, twin bigint, kind tinyint, batch_no int, first_key bigint"
-TOKENS = "token bigint, sig bigint, size int"
-NEAR = "sig bigint, other bigint"
-BLOOMS = "bucket int, layer int, bits binary"
-#: Bits a Bloom filter has for each fingerprint, and probes of each (false positives about 1 %).
-BITS, PROBES = 10, 6
+POSTINGS = "token bigint, class int, sig bigint, size int"
+SETS = "sig bigint, token bigint"
+WORDS = [f"w{k}" for k in range(4)]
+FILTER = "block bigint, " + ", ".join(f"{w} bigint" for w in WORDS)
+SCHEMAS = {"exact": EXACT, "postings": POSTINGS, "sets": SETS}
+BUCKET_OF = {"exact": "key", "postings": "token", "sets": "sig"}
+#: Fingerprints of a block of 4 x 64 bits: false positives below 0.1 %.
+PER_BLOCK = 12
+#: Fingerprints a bucket is meant for; a layer has at most so many buckets.
+PER_BUCKET, MOST_BUCKETS = 1 << 18, 1024
+#: Kind of a chunk hash among the fingerprints.
+TOKEN = 3
+SAME = ["key", "twin", "kind"]
 
 
-def _mix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        a = values.astype(np.uint64)
-        a = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        b = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return a, b | np.uint64(1)
+def block_of(key: Column, kind: Column, blocks: Column | int) -> Column:
+    """The block of a filter of ``blocks`` blocks that holds a fingerprint."""
+    return F.pmod(F.xxhash64(key, kind), blocks if isinstance(blocks, Column) else F.lit(blocks))
 
 
-def _slots(values: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    a, b = _mix(values)
-    for k in range(PROBES):
-        with np.errstate(over="ignore"):
-            yield (a + np.uint64(k) * b) % np.uint64(size)
+def slices_of(key: Column, kind: Column) -> list[Column]:
+    """The bit of each of the four slices that a fingerprint sets."""
+    spread = F.xxhash64(key, kind, F.lit("slices"))
+    return [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(spread, 6 * k).bitwiseAND(F.lit(63)).cast("int")).alias(w) for k, w in enumerate(WORDS)]
 
 
-def bloom_of(values: np.ndarray) -> bytes:
-    """A Bloom filter that holds ``values`` (64-bit integers)."""
-    size = max(64, 8 * math.ceil(len(values) * BITS / 8))
-    bits = np.zeros(size, dtype=bool)
-    for slot in _slots(values, size):
-        bits[slot] = True
-    return np.packbits(bits).tobytes()
+def bloom(fingerprints: DataFrame, blocks: int) -> DataFrame:
+    """The filter (block, w0..w3) of ``fingerprints`` (key, kind)."""
+    key, kind = F.col("key"), F.col("kind")
+    return fingerprints.select(block_of(key, kind, blocks).alias("block"), *slices_of(key, kind)).groupBy("block").agg(*[F.bit_or(w).alias(w) for w in WORDS])
 
 
-def in_bloom(values: np.ndarray, packed: bytes) -> np.ndarray:
-    """Which of ``values`` the filter may hold; never false for one it holds."""
-    raw = np.frombuffer(packed, dtype=np.uint8)
-    found = np.ones(len(values), dtype=bool)
-    for slot in _slots(values, len(raw) * 8):
-        found &= (raw[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    return found
+def size_class(size: Column) -> Column:
+    """Sizes in steps of a quarter: of two sizes within four fifths of each other the classes differ by one at most."""
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(1.25))).cast("int")
 
 
 class HistoryStore:
-    """What was accepted so far, in a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, root: str, *, buckets: int = 64, share: tuple[int, int] = (4, 5)) -> None:
-        self.spark, self.root, self.buckets, self.share = spark, root.rstrip("/"), buckets, share
-        self.deliveries = 0
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.deliveries:
+    """What was accepted so far, in a folder that all executors share; one writer at a time."""
+
+    def __init__(self, spark: SparkSession, root: str, *, share: tuple[int, int] = (4, 5), per_bucket: int = PER_BUCKET, most_layers: int = 16) -> None:
+        self.spark, self.root, self.share = spark, root.rstrip("/"), share
+        self.per_bucket, self.most_layers = per_bucket, most_layers
+        commits = [n for n in names_in(spark, f"{self.root}/commits") if n.endswith(".json") and n[0] != "."]
+        self.turn = len(commits)
+        #: live layers, oldest first: name, number of fingerprints, blocks of the filter, buckets
+        self.layers: list[dict] = json.loads(read_text(spark, f"{self.root}/commits/{commits[-1]}"))["layers"] if commits else []
+
+    # layers -----------------------------------------------------------------------------------------
+
+    def _read(self, name: str, cells: list[tuple[str, int]] | None = None) -> DataFrame:
+        """A table of the live layers; of ``cells`` (layer, bucket) only, where given."""
+        schema = f"{SCHEMAS[name]}, layer string, bucket int"
+        if not self.layers or (cells is not None and not cells):
             return empty(self.spark, schema)
-        paths = [f"{self.root}/{name}/delivery={k}" for k in range(self.deliveries)]
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def _add(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}/delivery={self.deliveries}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _bucket(self, token: Column) -> Column:
-        return F.pmod(token, F.lit(self.buckets)).cast("int")
-
-    def _seen(self, tokens: DataFrame) -> DataFrame:
-        """Those of the distinct ``tokens`` (bucket, token) that a filter of their bucket may hold."""
-
-        def probe(mine: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-            values = mine["token"].to_numpy(dtype=np.int64)
-            found = np.zeros(len(values), dtype=bool)
-            for packed in filters["bits"]:
-                found |= in_bloom(values, packed)
-            return pd.DataFrame({"token": values[found]})
-
-        if not self.deliveries:
-            return empty(self.spark, "token bigint")
-        return tokens.groupBy("bucket").cogroup(self._read("blooms", BLOOMS).groupBy("bucket")).applyInPandas(probe, "token bigint")
-
-    def accept(self, files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch) -> DataFrame:
-        """(record_kind, earlier_key, later_key) of the delivery's records that have a forerunner; updates the store.
-
-        A delivery may hold one batch or several; a forerunner always has a smaller batch_no.
-        """
-        turn, (over, under) = self.deliveries, self.share
-        file = files.where("batch_no is not null and file_key is not null").select(
-            F.col("file_key").cast("bigint").alias("file_key"), F.col("batch_no").cast("int").alias("batch_no"), clean_hash("hash").alias("hash")
-        )
+        named = {layer["name"] for layer in self.layers} if cells is None else {c[0] for c in cells}
+        found = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/layer={n}" for n in sorted(named)])
+        if cells is None:
+            return found
+        # a filter of partition columns: other buckets are not even opened
+        return found.where(F.concat_ws("/", "layer", "bucket").isin([f"{a}/{b}" for a, b in cells]))
+
+    def _write(self, layer: dict, tables: dict[str, DataFrame], fingerprints: DataFrame) -> None:
+        """All tables of a layer, written at the same time."""
+
+        def one(name: str) -> None:
+            if name == "filter":
+                bloom(fingerprints, layer["blocks"]).write.parquet(f"{self.root}/filter/layer={layer['name']}")
+            else:
+                bucket = F.pmod(F.col(BUCKET_OF[name]), F.lit(layer["buckets"])).cast("int")
+                rows = tables[name].withColumn("bucket", bucket)
+                rows = rows.repartition("bucket") if layer["buckets"] > 1 else rows
+                rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{name}/layer={layer['name']}")
+
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(one, [*tables, "filter"]))
+
+    def _layer(self, fingerprints: int) -> dict:
+        buckets = min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, fingerprints) / self.per_bucket))))
+        return {"name": f"{self.turn}-{uuid.uuid4().hex[:12]}", "fingerprints": fingerprints, "blocks": max(1, math.ceil(fingerprints / PER_BLOCK)), "buckets": buckets}
+
+    def _commit(self, layers: list[dict]) -> None:
+        write_once(self.spark, f"{self.root}/commits/{self.turn:08d}.json", json.dumps({"layers": layers}))
+        self.layers, self.turn = layers, self.turn + 1
+
+    def compact(self) -> None:
+        """Merge all layers into one; readers of the old layers are not disturbed until :meth:`vacuum`."""
+        if len(self.layers) < 2:
+            return
+        layer = self._layer(sum(x["fingerprints"] for x in self.layers))
+        tables = {name: self._read(name).drop("layer", "bucket") for name in SCHEMAS}
+        prints = tables["exact"].select("key", "kind").unionByName(tables["postings"].select(F.col("token").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind")))
+        self._write(layer, tables, prints)
+        self._commit([layer])
+
+    def vacuum(self) -> None:
+        """Delete the files of layers that no longer count."""
+        live = {f"layer={x['name']}" for x in self.layers}
+        for name in (*SCHEMAS, "filter"):
+            for gone in set(names_in(self.spark, f"{self.root}/{name}")) - live:
+                remove(self.spark, f"{self.root}/{name}/{gone}")
+
+    # look-ups ---------------------------------------------------------------------------------------
+
+    def _seen(self, prints: DataFrame) -> DataFrame:
+        """(layer, key, kind) of the distinct ``prints`` (key, kind) that a layer's filter may hold."""
+        if not self.layers:
+            return empty(self.spark, "layer string, key bigint, kind tinyint")
+        filters = self.spark.read.schema(f"{FILTER}, layer string").option("basePath", f"{self.root}/filter").parquet(*[f"{self.root}/filter/layer={x['name']}" for x in self.layers])
+        key, kind = F.col("key"), F.col("kind")
+        places = F.array(*[F.struct(F.lit(x["name"]).alias("layer"), block_of(key, kind, x["blocks"]).alias("block")) for x in self.layers])
+        asked = prints.select("key", "kind", F.explode(places).alias("p")).select("key", "kind", "p.*")
+        held = [F.col(w).bitwiseAND(m) == m for w, m in zip(WORDS, slices_of(key, kind))]
+        return asked.join(filters, ["layer", "block"]).where(held[0] & held[1] & held[2] & held[3]).select("layer", "key", "kind")
+
+    def _cells(self, *asked: tuple[DataFrame, str]) -> list[list[tuple[str, int]]]:
+        """For each (rows, key) the layers and buckets that may hold the keys; as many as there are buckets at most.
+
+        Rows without a column ``layer`` may be in any layer. All are answered by one job."""
+        layers = F.array(*[F.struct(F.lit(x["name"]).alias("layer"), F.lit(x["buckets"]).alias("buckets")) for x in self.layers])
+        told = None
+        for n, (rows, key) in enumerate(asked):
+            placed = rows.select(F.explode(F.filter(layers, lambda x: x["layer"] == F.col("layer")) if "layer" in rows.columns else layers).alias("l"), F.col(key).alias("k"))
+            part = placed.select(F.lit(n).alias("n"), "l.layer", F.pmod("k", "l.buckets").cast("int").alias("bucket")).distinct()
+            told = part if told is None else told.unionByName(part)
+        out: list[list[tuple[str, int]]] = [[] for _ in asked]
+        for n, layer, bucket in told.collect():
+            out[n].append((layer, bucket))
+        return out
+
+    # batches ----------------------------------------------------------------------------------------
+
+    def prepare(self, files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch) -> Batch:
+        """What of a batch does not depend on the store: its contents, marks and fingerprints."""
+        turn = uuid.uuid4().hex[:8]
+        file = files.where("file_key is not null").select(F.col("file_key").cast("bigint").alias("file_key"), clean_hash("hash").alias("hash"))
         text = F.lower(F.trim("chunk_hash"))
-        words = (
-            chunks.select("file_key", F.when(text != "", F.xxhash64(text)).alias("token"), F.when(text != "", F.xxhash64(text, F.lit("second"))).alias("twin"))
-            .where("token is not null").distinct()
-        )
+        words = chunks.where(text != "").select(F.col("file_key").cast("bigint").alias("file_key"), F.xxhash64(text).alias("token"), F.xxhash64(text, F.lit("second")).alias("twin"))
+        words = words.join(file.select("file_key"), "file_key", "left_semi").repartition("file_key").distinct()
         # contents by signature: number of distinct hashes and two independent folds of them
-        whole = words.groupBy("file_key").agg(F.count(F.lit(1)).cast("int").alias("size"), F.bit_xor("token").alias("x"), F.bit_xor("twin").alias("y"))
-        sigs = whole.select("file_key", "size", F.xxhash64("size", "x", "y").alias("sig"), F.xxhash64("y", "x", "size", F.lit(1)).alias("sig_twin"))
-        file = scratch.keep(file.join(sigs, "file_key", "left"), f"files{turn}")
+        of = W.partitionBy("file_key")
+        whole = words.withColumns({"size": F.count(F.lit(1)).over(of).cast("int"), "x": F.bit_xor("token").over(of), "y": F.bit_xor("twin").over(of)})
+        whole = whole.select("file_key", "token", "size", F.xxhash64("size", "x", "y").alias("sig"), F.xxhash64("y", "x", "size", F.lit(1)).alias("sig_twin"))
+        whole = scratch.keep(whole, f"contents-{turn}")
         place = F.concat_ws("\x1f", clean_hash("doc_hash"), F.coalesce(F.col("page").cast("string"), F.lit("-")), "field_code")
-        row = ledger.where(F.col("batch_no").isNotNull() & F.col("row_key").isNotNull() & clean_hash("doc_hash").isNotNull() & F.col("field_code").isNotNull())
+        row = ledger.where(F.col("row_key").isNotNull() & clean_hash("doc_hash").isNotNull() & F.col("field_code").isNotNull())
 
         def mark(kind: int, df: DataFrame, key: Column, twin: Column, record: str) -> DataFrame:
-            return df.select(key.alias("key"), twin.alias("twin"), F.lit(kind).cast("tinyint").alias("kind"), F.col("batch_no").cast("int").alias("batch_no"), F.col(record).cast("bigint").alias("record_key"))
+            return df.select(key.alias("key"), twin.alias("twin"), F.lit(kind).cast("tinyint").alias("kind"), F.col(record).cast("bigint").alias("record_key"))
 
         double = lambda c: (F.xxhash64(c), F.xxhash64(c, F.lit("second")))
         marks = (
             mark(0, file.where("hash is not null"), *double(F.col("hash")), "file_key")
-            .unionByName(mark(1, file.where("sig is not null"), F.col("sig"), F.col("sig_twin"), "file_key"))
+            .unionByName(mark(1, whole.select("file_key", "sig", "sig_twin").distinct(), F.col("sig"), F.col("sig_twin"), "file_key"))
             .unionByName(mark(2, row, *double(place), "row_key"))
         )
-        marks = scratch.keep(marks, f"marks{turn}")
-        same = ["key", "twin", "kind"]
-        firsts = scratch.keep(marks.groupBy(*same, "batch_no").agg(F.min("record_key").alias("first_key")), f"firsts{turn}")
-
-        # prescreen: which fingerprints may the store hold
-        mine = firsts.select(*same).distinct()
-        born = mine.where("kind = 1").select(F.col("key").alias("sig"))
-        # one file stands for all that carry the content
-        bearer = file.where("sig is not null").groupBy("sig", "size").agg(F.min("file_key").alias("file_key"))
-        new = scratch.keep(words.select("file_key", "token").join(bearer, "file_key").select("sig", "size", "token"), f"contents{turn}")
-        probes = mine.select(F.col("key").alias("token")).unionByName(new.select("token")).distinct().withColumn("bucket", self._bucket(F.col("token")))
-        seen = scratch.keep(self._seen(scratch.keep(probes, f"probes{turn}")), f"seen{turn}")
-        old = self._read("exact", EXACT)
-        if turn:
-            hits = mine.join(seen.withColumnRenamed("token", "key"), "key", "left_semi").select(*same)
-            old = old.join(hits, same, "left_semi")
-            known = old.where("kind = 1").select(F.col("key").alias("sig")).distinct()
-            born = born.join(known, "sig", "left_anti")
-            new = new.join(born, "sig", "left_semi")
-        timeline = scratch.keep(old.select(*same, "batch_no", "first_key").unionByName(firsts), f"timeline{turn}")
-        before = W.partitionBy(*same).orderBy("batch_no").rowsBetween(W.unboundedPreceding, -1)
-        earlier = timeline.withColumn("earlier_key", F.min("first_key").over(before)).where("earlier_key is not null").select(*same, "batch_no", "earlier_key")
-
-        near = self._near(new, seen, scratch)
-        edges = self._add(near, "near")
-        # contents near those of this delivery, and when they were first carried
-        edges = self._read("near", NEAR).unionByName(edges) if turn else edges
-        asked = firsts.where("kind = 1").select(F.col("key").alias("sig"), "twin", "batch_no").join(edges, "sig")
-        dated = self._read("exact", EXACT).unionByName(firsts).where("kind = 1").select(F.col("key").alias("other"), F.col("batch_no").alias("other_batch"), "first_key")
-        by_near = (
-            asked.join(dated, "other").where("other_batch < batch_no")
-            .groupBy(F.col("sig").alias("key"), "twin", F.lit(1).cast("tinyint").alias("kind"), "batch_no").agg(F.min("first_key").alias("earlier_key"))
-        )
-        best = earlier.unionByName(by_near).groupBy(*same, "batch_no").agg(F.min("earlier_key").alias("earlier_key"))
-        found = (
-            marks.join(best, [*same, "batch_no"])
-            .groupBy(F.when(F.col("kind") == 2, "ledger").otherwise("file").alias("record_kind"), F.col("record_key").alias("later_key"))
-            .agg(F.min("earlier_key").alias("earlier_key"))
-            .select("record_kind", "earlier_key", "later_key")
-        )
-        found = scratch.keep(found, f"found{turn}")
-
-        # update: facts and a new layer of filters
-        self._add(firsts, "exact")
-        self._add(new, "tokens")
-
-        def layer(group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "layer": [turn], "bits": [bloom_of(group["token"].to_numpy(dtype=np.int64))]})
-
-        fresh = self.spark.read.schema("token bigint, bucket int").parquet(f"{scratch.root}/probes{turn}")
-        self._add(fresh.groupBy("bucket").applyInPandas(layer, BLOOMS), "blooms")
-        self.deliveries += 1
-        for name in ("files", "marks", "firsts", "contents", "probes", "seen", "timeline", "picked", "pairs"):
-            scratch.drop(f"{name}{turn}")
+        marks = scratch.keep(marks, f"marks-{turn}")
+        prints = marks.select("key", "kind").unionByName(whole.select(F.col("token").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind"))).distinct()
+        prints = scratch.keep(prints, f"prints-{turn}")
+        return Batch(turn, whole, marks, prints, prints.count())
+
+    def accept(self, batch_no: int, batch: Batch, scratch: Scratch) -> DataFrame:
+        """(record_kind, earlier_key, later_key) of the records of one batch that have a forerunner; then adds the batch."""
+        whole, marks, prints, turn = batch.contents, batch.marks, batch.prints, batch.name
+        firsts = marks.groupBy(*SAME).agg(F.lit(batch_no).cast("int").alias("batch_no"), F.min("record_key").alias("first_key"))
+        known, near, best = empty(self.spark, "sig bigint"), None, None
+        with ThreadPoolExecutor(2) as pool:
+            if self.layers:
+                seen = scratch.keep(self._seen(prints), f"seen-{turn}")
+                near = pool.submit(self._near, batch_no, whole, firsts, seen.where(F.col("kind") == TOKEN), scratch, turn)
+                told = seen.where(F.col("kind") != TOKEN)
+                mine = firsts.select(*SAME).join(told.select("key", "kind").distinct(), ["key", "kind"], "left_semi")
+                (cells,) = self._cells((told, "key"))
+                held = scratch.keep(self._read("exact", cells).drop("layer", "bucket").join(mine, SAME, "left_semi"), f"held-{turn}")
+                known = held.where("kind = 1").select(F.col("key").alias("sig")).distinct()
+                best = held.where(F.col("batch_no") < batch_no).select(*SAME, F.col("first_key").alias("earlier_key"))
+            layer = self._layer(batch.count)
+            born = whole.select("sig", "size", "token").distinct().join(known, "sig", "left_anti")
+            tables = {"exact": firsts, "postings": born.select("token", size_class(F.col("size")).alias("class"), "sig", "size"), "sets": born.select("sig", "token")}
+            added = pool.submit(self._write, layer, tables, prints) if batch.count else None
+            if near is None or best is None:
+                found = empty(self.spark, "record_kind string, earlier_key bigint, later_key bigint")
+            else:
+                best = best.unionByName(near.result()).groupBy(*SAME).agg(F.min("earlier_key").alias("earlier_key"))
+                found = (
+                    marks.join(best, SAME)
+                    .groupBy(F.when(F.col("kind") == 2, "ledger").otherwise("file").alias("record_kind"), F.col("record_key").alias("later_key"))
+                    .agg(F.min("earlier_key").alias("earlier_key")).select("record_kind", "earlier_key", "later_key")
+                )
+                found = scratch.keep(found, f"found-{turn}")
+            if added is not None:
+                added.result()
+                self._commit([*self.layers, layer])
+        if len(self.layers) > self.most_layers:
+            self.compact()
+        for name in ("contents", "marks", "prints", "seen", "held", "asked", "pairs"):
+            scratch.drop(f"{name}-{turn}")
         return found
 
-    def _near(self, new: DataFrame, seen: DataFrame, scratch: Scratch) -> DataFrame:
-        """Both directions of every pair of contents, at least one of them new, that share enough."""
-        turn, (over, under) = self.deliveries, self.share
-        # sets of fewer than `under`/(`under`-`over`) - 1 hashes are only near to themselves
-        large = new.where(F.col("size") >= math.ceil(over / (under - over)))
-        lists = self._read("tokens", TOKENS).select("token", "sig", "size").unionByName(new.select("token", "sig", "size"))
-        count = new.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        if turn:
-            past = self._read("tokens", TOKENS).join(seen, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-            count = count.unionByName(past).groupBy("token").agg(F.sum("df").alias("df"))
+    def _near(self, batch_no: int, whole: DataFrame, firsts: DataFrame, hits: DataFrame, scratch: Scratch, turn: str) -> DataFrame:
+        """(key, twin, kind, earlier_key) of contents of the batch with enough in common with one of an earlier batch."""
+        over, under = self.share
+        # sets of fewer than `over`/(`under`-`over`) hashes are only near to themselves
+        large = whole.where(F.col("size") >= math.ceil(over / (under - over))).select("sig", "size", "token").distinct()
+        marked = large.join(hits.select(F.col("key").alias("token"), F.lit(1).alias("hit")).distinct(), "token", "left")
+        # what no filter holds is rarest; as many of the rest are looked up as are left of the quota
         least = F.col("size") - F.ceil(F.col("size") * over / under) + 1
-        rank = F.row_number().over(W.partitionBy("sig").orderBy("df", "token"))
-        picked = large.join(count, "token").withColumn("rank", rank).where((F.col("rank") <= least) & (F.col("df") > 1)).select("sig", "size", "token")
-        picked = scratch.keep(picked, f"picked{turn}")
-        other = lists.select("token", F.col("sig").alias("other"), F.col("size").alias("other_size"))
+        quota = least - F.count_if(F.col("hit").isNull()).over(W.partitionBy("sig"))
+        asked = scratch.keep(marked.withColumn("quota", quota).where("hit = 1 and quota > 0").select("sig", "size", "token", "quota"), f"asked-{turn}")
+        (cells,) = self._cells((hits.join(asked.select(F.col("token").alias("key")).distinct(), "key", "left_semi"), "key"))
+        if not cells:
+            return empty(self.spark, "key bigint, twin bigint, kind tinyint, earlier_key bigint")
+        lists = self._read("postings", cells).select("token", "class", F.col("sig").alias("other"), F.col("size").alias("other_size"), "layer")
+        counts = lists.select("token").join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        # a token in no list was a false alarm of a filter; it counts as rarest too and is looked up in vain
+        rank = F.row_number().over(W.partitionBy("sig").orderBy(F.coalesce("df", F.lit(0)), "token"))
+        picked = asked.join(counts, "token", "left").withColumn("rank", rank).where("rank <= quota and df is not null")
+        steps = F.explode(F.array(*[size_class(F.col("size")) + F.lit(k) for k in (-1, 0, 1)]))
+        picked = picked.select("sig", "size", "token", steps.alias("class"))
         fits = (F.col("other_size") * under >= F.col("size") * over) & (F.col("size") * under >= F.col("other_size") * over)
-        pairs = picked.join(other, "token").where(fits & (F.col("sig") != F.col("other"))).groupBy("sig", "size", "other", "other_size").agg(F.lit(1).alias("one"))
-        pairs = scratch.keep(pairs.drop("one"), f"pairs{turn}")
+        pairs = picked.join(lists, ["token", "class"]).where(fits & (F.col("sig") != F.col("other")))
+        pairs = scratch.keep(pairs.select("sig", "size", "other", "other_size", "layer").distinct(), f"pairs-{turn}")
+        in_sets, in_exact = self._cells((pairs, "other"), (pairs.drop("layer"), "other"))
         # a pair with a rare hash in common is likely near; only their hashes are counted
-        mine = new.select("sig", "token").join(pairs.select("sig").distinct(), "sig", "left_semi")
-        theirs = lists.select(F.col("sig").alias("other"), "token").join(pairs.select("other").distinct(), "other", "left_semi")
-        shared = pairs.join(mine, "sig").join(theirs, ["other", "token"]).groupBy("sig", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
-        good = shared.where(F.col("both") * under >= (F.col("size") + F.col("other_size") - F.col("both")) * over)
-        return good.select("sig", "other").unionByName(good.select(F.col("other").alias("sig"), F.col("sig").alias("other"))).distinct()
+        theirs = self._read("sets", in_sets).select(F.col("sig").alias("other"), "token")
+        theirs = theirs.join(pairs.select("other").distinct(), "other", "left_semi").distinct()
+        mine = large.select("sig", "token").join(pairs.select("sig").distinct(), "sig", "left_semi")
+        shared = pairs.drop("layer").distinct().join(mine, "sig").join(theirs, ["other", "token"]).groupBy("sig", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
+        good = shared.where(F.col("both") * under >= (F.col("size") + F.col("other_size") - F.col("both")) * over).select("sig", "other")
+        # when and by whom the near contents were carried first
+        dated = self._read("exact", in_exact).where((F.col("kind") == 1) & (F.col("batch_no") < batch_no))
+        near = good.join(dated.select(F.col("key").alias("other"), "first_key"), "other").groupBy("sig").agg(F.min("first_key").alias("earlier_key"))
+        return near.join(firsts.where("kind = 1").select(F.col("key").alias("sig"), *SAME), "sig").select(*SAME, "earlier_key")
+
+
+@dataclass(frozen=True)
+class Batch:
+    """A prepared batch: contents (file_key, token, size, sig, sig_twin), marks (key, twin, kind, record_key), fingerprints (key, kind)."""
 
+    name: str
+    contents: DataFrame
+    marks: DataFrame
+    prints: DataFrame
+    count: int
 
-def forerunners(files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch, *, deliveries: int = 3) -> DataFrame:
-    """All batches, oldest first, offered to a new store in a few deliveries of consecutive batches."""
+
+def forerunners(files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch) -> DataFrame:
+    """All batches, oldest first, offered one by one to a new store.
+
+    The chunks are sorted into their batches once, so that each batch reads its own rows only."""
     spark = files.sparkSession
-    numbers = sorted(r[0] for r in files.select("batch_no").union(ledger.select("batch_no")).where("batch_no is not null").distinct().collect())
+    files = files.where("batch_no is not null").select("file_key", "hash", "batch_no")
+    ledger = ledger.where("batch_no is not null").select("row_key", "doc_hash", "page", "field_code", "batch_no")
+    numbers = sorted(r[0] for r in files.select("batch_no").union(ledger.select("batch_no")).distinct().collect())
+    placed = chunks.select("file_key", "chunk_hash").join(files.select("file_key", "batch_no").distinct(), "file_key")
+    placed.write.partitionBy("batch_no").option("compression", "zstd").parquet(f"{scratch.root}/placed")
+    placed = spark.read.schema("file_key bigint, chunk_hash string, batch_no int").parquet(f"{scratch.root}/placed")
     store = HistoryStore(spark, f"{scratch.root}/store")
-    step = max(1, math.ceil(len(numbers) / deliveries))
     out = empty(spark, "record_kind string, earlier_key bigint, later_key bigint")
-    for k in range(0, len(numbers), step):
-        part = F.col("batch_no").between(numbers[k], numbers[min(k + step, len(numbers)) - 1])
-        keys = files.where(part).select("file_key")
-        out = out.unionByName(store.accept(files.where(part), chunks.select("file_key", "chunk_hash").join(keys, "file_key", "left_semi"), ledger.where(part), scratch))
+
+    def prepare(n: int) -> Batch:
+        part = F.col("batch_no") == n
+        return store.prepare(files.where(part), placed.where(part), ledger.where(part), scratch)
+
+    with ThreadPoolExecutor(1) as ahead:  # the next batch is prepared while one is looked up
+        after = ahead.submit(prepare, numbers[0]) if numbers else None
+        for k, n in enumerate(numbers):
+            batch = after.result()
+            after = ahead.submit(prepare, numbers[k + 1]) if k + 1 < len(numbers) else None
+            out = out.unionByName(store.accept(n, batch, scratch))
     return out

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.glyphs import skeleton, to_leaf
+from tidewell.llm.hashes import clean_hash
 from tidewell.llm.truth import discover
 from tidewell.shared import Scratch
 
@@ -27,12 +28,6 @@ NO_NAME = ("inc", "llc", "co", "corp", "ltd", "gmbh", "the", "plc", "ag", "sa")
 TIERS = ("form_field", "layout", "ocr_layout")
 
 
-def clean_hash(column: str) -> Column:
-    """A content hash as it is compared: lower case, without blanks and a leading algorithm; empty becomes null."""
-    bare = F.regexp_replace(F.lower(F.trim(F.col(column))), r"^(md5|sha1|sha256)\s*[:=]\s*", "")
-    return F.when(F.length(bare) > 0, bare)
-
-
 def payer_key(name: Column) -> Column:
     """Words of a payer's name as skeletons, in order, joined by blanks; null when none is left."""
     lower = F.trim(F.lower(name))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.texts import chunk_hash, chunk_id
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SIZE, OVERLAP = 1000, 150
 
 
@@ -56,6 +59,8 @@ def chunk(texts: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP) -> Data
     """Chunks of ``texts`` (silo, source, mtime, text): id, silo, source, chunk_no, line_start, text, chunk_hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for b in batches:
             rows = [(s, p, m, n, c[1], c[0]) for s, p, m, t in zip(b["silo"], b["source"], b["mtime"], b["text"]) if t is not None for n, c in enumerate(line_chunks(t, size, overlap))]
             yield pd.DataFrame(rows, columns=["silo", "source", "mtime", "chunk_no", "line_start", "text"])

@@ -15,11 +15,14 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import TYPE_CHECKING
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 Pages = list[tuple[int, str]]
 SKIPPED = ("script", "style", "head", "noscript", "nav", "footer")
 #: Guards against archives that unpack into too much: entries, bytes of all, bytes of one.
@@ -180,6 +183,8 @@ def extract(listing: DataFrame) -> DataFrame:
     """(source, page, text, content_extracted) of the files of a listing (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             rows = [(s, p, t, int(t is not None)) for path, content in zip(batch["path"], batch["content"]) for s, p, t in read(path, bytes(content))]
             yield pd.DataFrame(rows, columns=["source", "page", "text", "content_extracted"])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 #: Before the time of any event, in microseconds.
 NEVER = -(2**62)
@@ -54,6 +56,8 @@ def once_within(events: DataFrame, keys: list[str], gap_seconds: int, late: str
     gap = gap_seconds * 1_000_000
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         kept, times, ids = state.get if state.exists else (NEVER, [], [])
         waiting, out = list(zip(times, ids)), []
         if not state.hasTimedOut:
@@ -85,6 +89,8 @@ def once_rest(spark: SparkSession, checkpoint: str, stream: DataFrame, gap_secon
     keys, gap = stream.columns[1:], gap_seconds * 1_000_000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for rows in batches:
             rows["event_id"] = [_first_in_gap(kept, sorted(zip(times, ids)), gap)[1] for kept, times, ids in zip(rows["kept"], rows["times"], rows["ids"])]
             yield rows[["event_id", *keys]]
@@ -108,6 +114,8 @@ def debounced(events: DataFrame, key: str, gap_seconds: int, late: str = "1 hour
     gap = gap_seconds * 1000
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         action, count, last = state.get if state.exists else (None, 0, 0)
         out = []
         if state.hasTimedOut:

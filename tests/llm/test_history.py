@@ -65,13 +65,14 @@ def frames(spark, files, chunks, rows):
 
 def offer(store, n, frames, scratch):
     files, chunks, rows = frames
-    return pairs(store.accept(n, store.prepare(files.where(F.col("batch_no") == n), chunks, rows.where(F.col("batch_no") == n), scratch), scratch))
+    mine = files.where(F.col("batch_no") == n)
+    return pairs(store.accept(store.prepare(mine, chunks.join(mine.select("file_key", "batch_no"), "file_key"), rows.where(F.col("batch_no") == n), scratch, several=n == 1), scratch))
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_all_batches(spark, scratch, seed):
+@pytest.mark.parametrize("seed, per_delivery", [(5, 1), (6, 2), (7, 9)])
+def test_all_batches(spark, scratch, seed, per_delivery):
     files, chunks, rows = tables(seed)
-    found = history.forerunners(*frames(spark, files, chunks + [(1, None, "x"), (2, "", "x")], rows), scratch)
+    found = history.forerunners(*frames(spark, files, chunks + [(1, None, "x"), (2, "", "x")], rows), scratch, per_delivery=per_delivery)
     assert pairs(found) == by_force(files, chunks, rows)
 
 
@@ -128,8 +129,8 @@ def test_a_batch_reads_only_the_buckets_it_asks_for(spark, scratch, tmp_path):
     made = frames(spark, many + few, [(1, None, "x")], [(1, None, None, None, 0)])
     store = history.HistoryStore(spark, str(tmp_path), per_bucket=64)
     offer(store, 0, made, scratch)
-    seen = store._seen(store.prepare(made[0].where("batch_no = 1"), made[1], made[2].where("batch_no = 1"), scratch).prints)
-    (cells,) = store._cells((seen, "key"))
+    seen = store._seen(store.prepare(made[0].where("batch_no = 1"), made[1].withColumn("batch_no", F.lit(1)).limit(0), made[2].where("batch_no = 1"), scratch).prints)
+    (cells,) = store._cells(store.layers, (seen, "key"))
     assert len(cells) <= 2 < store.layers[0]["buckets"] and store._read("exact", cells).count() < 200
     assert offer(store, 1, made, scratch) == {("file", 17, 9001)}
 

@@ -1,6 +1,7 @@
 """Problem 5: new batches against everything accepted before.
 
-A persistent store remembers what was accepted. It is a folder of immutable layers, one for each batch:
+A persistent store remembers what was accepted. It is a folder of immutable layers, one for each delivery of one or
+more batches:
 
 * ``exact``    (key, twin, kind, batch_no, first_key): the smallest record key that carried a fingerprint in the batch;
   kinds are file hashes (0), whole-content signatures (1) and ledger positions (2), key and twin are 128 bits;
@@ -25,8 +26,8 @@ more than ``most_layers`` layers have gathered, they are merged into one (:meth:
 Defined results: null batch_no: the record is not compared; null or blank hashes, doc_hash and chunk_hash are no
 fingerprints (a null ledger page equals a null page, a null field_code equals nothing); repeated rows count once;
 an empty batch is accepted and changes nothing; a batch offered again, or after later ones, has only smaller batch_no as
-forerunners, and records accepted before are not judged again; chunks of files that are not in the batch and
-further columns are ignored.
+forerunners, and records accepted before are not judged again; chunks of files without a batch and further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,11 +97,11 @@ class HistoryStore:
     # layers -----------------------------------------------------------------------------------------
 
     def _read(self, name: str, cells: list[tuple[str, int]] | None = None) -> DataFrame:
-        """A table of the live layers; of ``cells`` (layer, bucket) only, where given."""
+        """A table of the live layers; where given, only of ``cells`` (layer, bucket)."""
         schema = f"{SCHEMAS[name]}, layer string, bucket int"
-        if not self.layers or (cells is not None and not cells):
-            return empty(self.spark, schema)
         named = {layer["name"] for layer in self.layers} if cells is None else {c[0] for c in cells}
+        if not named:
+            return empty(self.spark, schema)
         found = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/layer={n}" for n in sorted(named)])
         if cells is None:
             return found
@@ -122,9 +123,18 @@ class HistoryStore:
         with ThreadPoolExecutor(4) as pool:
             list(pool.map(one, [*tables, "filter"]))
 
+    @staticmethod
+    def _constant(layers: list[dict]) -> Column:
+        """Layers as one array of (layer, blocks, buckets), a layer by its number: a constant that generated code only refers to."""
+        return F.array(*[F.struct(F.lit(x["number"]).alias("layer"), F.lit(x["blocks"]).cast("bigint").alias("blocks"), F.lit(x["buckets"]).alias("buckets")) for x in layers])
+
+    @staticmethod
+    def _number(name: Column) -> Column:
+        return F.split_part(name, F.lit("-"), F.lit(1)).cast("int")
+
     def _layer(self, fingerprints: int) -> dict:
         buckets = min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, fingerprints) / self.per_bucket))))
-        return {"name": f"{self.turn}-{uuid.uuid4().hex[:12]}", "fingerprints": fingerprints, "blocks": max(1, math.ceil(fingerprints / PER_BLOCK)), "buckets": buckets}
+        return {"number": self.turn, "name": f"{self.turn}-{uuid.uuid4().hex[:12]}", "fingerprints": fingerprints, "blocks": max(1, math.ceil(fingerprints / PER_BLOCK)), "buckets": buckets}
 
     def _commit(self, layers: list[dict]) -> None:
         write_once(self.spark, f"{self.root}/commits/{self.turn:08d}.json", json.dumps({"layers": layers}))
@@ -152,85 +162,104 @@ class HistoryStore:
     def _seen(self, prints: DataFrame) -> DataFrame:
         """(layer, key, kind) of the distinct ``prints`` (key, kind) that a layer's filter may hold."""
         if not self.layers:
-            return empty(self.spark, "layer string, key bigint, kind tinyint")
+            return empty(self.spark, "layer int, key bigint, kind tinyint")
         filters = self.spark.read.schema(f"{FILTER}, layer string").option("basePath", f"{self.root}/filter").parquet(*[f"{self.root}/filter/layer={x['name']}" for x in self.layers])
+        filters = filters.withColumn("layer", self._number(F.col("layer")))
         key, kind = F.col("key"), F.col("kind")
-        places = F.array(*[F.struct(F.lit(x["name"]).alias("layer"), block_of(key, kind, x["blocks"]).alias("block")) for x in self.layers])
-        asked = prints.select("key", "kind", F.explode(places).alias("p")).select("key", "kind", "p.*")
+        asked = prints.select("key", "kind", F.explode(self._constant(self.layers)).alias("l")).select("key", "kind", "l.layer", block_of(key, kind, F.col("l.blocks")).alias("block"))
         held = [F.col(w).bitwiseAND(m) == m for w, m in zip(WORDS, slices_of(key, kind))]
         return asked.join(filters, ["layer", "block"]).where(held[0] & held[1] & held[2] & held[3]).select("layer", "key", "kind")
 
-    def _cells(self, *asked: tuple[DataFrame, str]) -> list[list[tuple[str, int]]]:
+    def _cells(self, layers: list[dict], *asked: tuple[DataFrame, str]) -> list[list[tuple[str, int]]]:
         """For each (rows, key) the layers and buckets that may hold the keys; as many as there are buckets at most.
 
-        Rows without a column ``layer`` may be in any layer. All are answered by one job."""
-        layers = F.array(*[F.struct(F.lit(x["name"]).alias("layer"), F.lit(x["buckets"]).alias("buckets")) for x in self.layers])
-        told = None
+        Rows without a column ``layer`` may be in any layer. All are answered by one job, and by none where every layer is
+        small enough for one bucket."""
+        if all(x["buckets"] == 1 for x in layers):
+            return [[(x["name"], 0) for x in layers] for _ in asked]
+        every, told = self._constant(layers), None
         for n, (rows, key) in enumerate(asked):
-            placed = rows.select(F.explode(F.filter(layers, lambda x: x["layer"] == F.col("layer")) if "layer" in rows.columns else layers).alias("l"), F.col(key).alias("k"))
+            placed = rows.select(F.explode(F.filter(every, lambda x: x["layer"] == F.col("layer")) if "layer" in rows.columns else every).alias("l"), F.col(key).alias("k"))
             part = placed.select(F.lit(n).alias("n"), "l.layer", F.pmod("k", "l.buckets").cast("int").alias("bucket")).distinct()
             told = part if told is None else told.unionByName(part)
         out: list[list[tuple[str, int]]] = [[] for _ in asked]
+        names = {x["number"]: x["name"] for x in layers}
         for n, layer, bucket in told.collect():
-            out[n].append((layer, bucket))
+            out[n].append((names[layer], bucket))
         return out
 
     # batches ----------------------------------------------------------------------------------------
 
-    def prepare(self, files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch) -> Batch:
-        """What of a batch does not depend on the store: its contents, marks and fingerprints."""
+    def prepare(self, files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch, *, several: bool = True) -> Batch:
+        """What of a batch does not depend on the store: its contents, marks and fingerprints.
+
+        ``files``: file_key, hash, batch_no; ``chunks`` of these files: file_key, chunk_hash, batch_no; ``ledger``: row_key,
+        doc_hash, page, field_code, batch_no. Numbers reach the plans as data: every batch runs the same code. ``several`` may
+        be false where all rows are of one batch, which then need not be looked up among themselves."""
         turn = uuid.uuid4().hex[:8]
-        file = files.where("file_key is not null").select(F.col("file_key").cast("bigint").alias("file_key"), clean_hash("hash").alias("hash"))
+        number = F.col("batch_no").cast("int").alias("batch_no")
+        file = files.where("file_key is not null").select(F.col("file_key").cast("bigint").alias("file_key"), clean_hash("hash").alias("hash"), number)
         text = F.lower(F.trim("chunk_hash"))
-        words = chunks.where(text != "").select(F.col("file_key").cast("bigint").alias("file_key"), F.xxhash64(text).alias("token"), F.xxhash64(text, F.lit("second")).alias("twin"))
-        words = words.join(file.select("file_key"), "file_key", "left_semi").repartition("file_key").distinct()
+        words = chunks.where((text != "") & F.col("file_key").isNotNull()).select(F.col("file_key").cast("bigint").alias("file_key"), number, F.xxhash64(text).alias("token"), F.xxhash64(text, F.lit("second")).alias("twin"))
         # contents by signature: number of distinct hashes and two independent folds of them
         of = W.partitionBy("file_key")
-        whole = words.withColumns({"size": F.count(F.lit(1)).over(of).cast("int"), "x": F.bit_xor("token").over(of), "y": F.bit_xor("twin").over(of)})
-        whole = whole.select("file_key", "token", "size", F.xxhash64("size", "x", "y").alias("sig"), F.xxhash64("y", "x", "size", F.lit(1)).alias("sig_twin"))
-        whole = scratch.keep(whole, f"contents-{turn}")
+        whole = words.repartition("file_key").distinct().withColumns({"size": F.count(F.lit(1)).over(of).cast("int"), "x": F.bit_xor("token").over(of), "y": F.bit_xor("twin").over(of)})
+        whole = whole.select("file_key", "batch_no", "token", "size", F.xxhash64("size", "x", "y").alias("sig"), F.xxhash64("y", "x", "size", F.lit(1)).alias("sig_twin"))
+        whole = scratch.keep(whole, f"whole-{turn}")
+        # each content once, whatever number of files carry it
+        contents = scratch.keep(whole.select("sig", "size", "token").distinct(), f"contents-{turn}")
         place = F.concat_ws("\x1f", clean_hash("doc_hash"), F.coalesce(F.col("page").cast("string"), F.lit("-")), "field_code")
         row = ledger.where(F.col("row_key").isNotNull() & clean_hash("doc_hash").isNotNull() & F.col("field_code").isNotNull())
 
         def mark(kind: int, df: DataFrame, key: Column, twin: Column, record: str) -> DataFrame:
-            return df.select(key.alias("key"), twin.alias("twin"), F.lit(kind).cast("tinyint").alias("kind"), F.col(record).cast("bigint").alias("record_key"))
+            return df.select(key.alias("key"), twin.alias("twin"), F.lit(kind).cast("tinyint").alias("kind"), number, F.col(record).cast("bigint").alias("record_key"))
 
         double = lambda c: (F.xxhash64(c), F.xxhash64(c, F.lit("second")))
         marks = (
             mark(0, file.where("hash is not null"), *double(F.col("hash")), "file_key")
-            .unionByName(mark(1, whole.select("file_key", "sig", "sig_twin").distinct(), F.col("sig"), F.col("sig_twin"), "file_key"))
+            .unionByName(mark(1, whole.select("file_key", "batch_no", "sig", "sig_twin").distinct(), F.col("sig"), F.col("sig_twin"), "file_key"))
             .unionByName(mark(2, row, *double(place), "row_key"))
         )
         marks = scratch.keep(marks, f"marks-{turn}")
-        prints = marks.select("key", "kind").unionByName(whole.select(F.col("token").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind"))).distinct()
+        firsts = scratch.keep(marks.groupBy(*SAME, "batch_no").agg(F.min("record_key").alias("first_key")), f"firsts-{turn}")
+        prints = firsts.select("key", "kind").unionByName(contents.select(F.col("token").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind"))).distinct()
         prints = scratch.keep(prints, f"prints-{turn}")
-        return Batch(turn, whole, marks, prints, prints.count())
+        return Batch(turn, contents, marks, firsts, prints, prints.count(), several)
 
-    def accept(self, batch_no: int, batch: Batch, scratch: Scratch) -> DataFrame:
-        """(record_kind, earlier_key, later_key) of the records of one batch that have a forerunner; then adds the batch."""
-        whole, marks, prints, turn = batch.contents, batch.marks, batch.prints, batch.name
-        firsts = marks.groupBy(*SAME).agg(F.lit(batch_no).cast("int").alias("batch_no"), F.min("record_key").alias("first_key"))
-        known, near, best = empty(self.spark, "sig bigint"), None, None
+    def accept(self, batch: Batch, scratch: Scratch) -> DataFrame:
+        """(record_kind, earlier_key, later_key) of the delivery's records that have a forerunner; then adds the delivery."""
+        contents, marks, firsts, prints, turn = batch.contents, batch.marks, batch.firsts, batch.prints, batch.name
+        known, best, near = empty(self.spark, "sig bigint"), None, None
+        layer = self._layer(batch.count)
         with ThreadPoolExecutor(2) as pool:
             if self.layers:
                 seen = scratch.keep(self._seen(prints), f"seen-{turn}")
-                near = pool.submit(self._near, batch_no, whole, firsts, seen.where(F.col("kind") == TOKEN), scratch, turn)
+                hits = seen.where(F.col("kind") == TOKEN)
+                if not batch.several:
+                    near = pool.submit(self._near, self.layers, contents, firsts, hits, scratch, turn)
                 told = seen.where(F.col("kind") != TOKEN)
-                mine = firsts.select(*SAME).join(told.select("key", "kind").distinct(), ["key", "kind"], "left_semi")
-                (cells,) = self._cells((told, "key"))
-                held = scratch.keep(self._read("exact", cells).drop("layer", "bucket").join(mine, SAME, "left_semi"), f"held-{turn}")
+                mine = firsts.select(*SAME).join(told.select("key", "kind").distinct(), ["key", "kind"], "left_semi").distinct()
+                (cells,) = self._cells(self.layers, (told, "key"))
+                held = scratch.keep(self._read("exact", cells).drop("layer", "bucket").join(mine, SAME), f"held-{turn}")
                 known = held.where("kind = 1").select(F.col("key").alias("sig")).distinct()
-                best = held.where(F.col("batch_no") < batch_no).select(*SAME, F.col("first_key").alias("earlier_key"))
-            layer = self._layer(batch.count)
-            born = whole.select("sig", "size", "token").distinct().join(known, "sig", "left_anti")
+            else:
+                held, hits = empty(self.spark, EXACT), empty(self.spark, "layer int, key bigint, kind tinyint")
+            born = contents.join(known, "sig", "left_anti")
             tables = {"exact": firsts, "postings": born.select("token", size_class(F.col("size")).alias("class"), "sig", "size"), "sets": born.select("sig", "token")}
             added = pool.submit(self._write, layer, tables, prints) if batch.count else None
-            if near is None or best is None:
+            if added is not None and batch.several:  # the delivery's batches are looked up in its own layer too
+                added.result()
+                twice = contents.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                own = twice.select(F.lit(layer["number"]).alias("layer"), F.col("token").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind"))
+                near = pool.submit(self._near, [*self.layers, layer], contents, firsts, hits.unionByName(own), scratch, turn)
+                held = held.unionByName(firsts)
+            if near is None:
                 found = empty(self.spark, "record_kind string, earlier_key bigint, later_key bigint")
             else:
-                best = best.unionByName(near.result()).groupBy(*SAME).agg(F.min("earlier_key").alias("earlier_key"))
+                best = firsts.select(*SAME, F.col("batch_no").alias("now")).join(held, SAME).where("batch_no < now").select(*SAME, "now", F.col("first_key").alias("earlier_key"))
+                best = best.unionByName(near.result()).groupBy(*SAME, F.col("now").alias("batch_no")).agg(F.min("earlier_key").alias("earlier_key"))
                 found = (
-                    marks.join(best, SAME)
+                    marks.join(best, [*SAME, "batch_no"])
                     .groupBy(F.when(F.col("kind") == 2, "ledger").otherwise("file").alias("record_kind"), F.col("record_key").alias("later_key"))
                     .agg(F.min("earlier_key").alias("earlier_key")).select("record_kind", "earlier_key", "later_key")
                 )
@@ -240,24 +269,24 @@ class HistoryStore:
                 self._commit([*self.layers, layer])
         if len(self.layers) > self.most_layers:
             self.compact()
-        for name in ("contents", "marks", "prints", "seen", "held", "asked", "pairs"):
+        for name in ("whole", "contents", "marks", "firsts", "prints", "seen", "held", "asked", "pairs"):
             scratch.drop(f"{name}-{turn}")
         return found
 
-    def _near(self, batch_no: int, whole: DataFrame, firsts: DataFrame, hits: DataFrame, scratch: Scratch, turn: str) -> DataFrame:
-        """(key, twin, kind, earlier_key) of contents of the batch with enough in common with one of an earlier batch."""
+    def _near(self, layers: list[dict], contents: DataFrame, firsts: DataFrame, hits: DataFrame, scratch: Scratch, turn: str) -> DataFrame:
+        """(key, twin, kind, now, earlier_key) of contents of the batch with enough in common with one of an earlier batch."""
         over, under = self.share
         # sets of fewer than `over`/(`under`-`over`) hashes are only near to themselves
-        large = whole.where(F.col("size") >= math.ceil(over / (under - over))).select("sig", "size", "token").distinct()
+        large = contents.where(F.col("size") >= math.ceil(over / (under - over)))
         marked = large.join(hits.select(F.col("key").alias("token"), F.lit(1).alias("hit")).distinct(), "token", "left")
         # what no filter holds is rarest; as many of the rest are looked up as are left of the quota
         least = F.col("size") - F.ceil(F.col("size") * over / under) + 1
         quota = least - F.count_if(F.col("hit").isNull()).over(W.partitionBy("sig"))
         asked = scratch.keep(marked.withColumn("quota", quota).where("hit = 1 and quota > 0").select("sig", "size", "token", "quota"), f"asked-{turn}")
-        (cells,) = self._cells((hits.join(asked.select(F.col("token").alias("key")).distinct(), "key", "left_semi"), "key"))
+        (cells,) = self._cells(layers, (hits.join(asked.select(F.col("token").alias("key")).distinct(), "key", "left_semi"), "key"))
         if not cells:
-            return empty(self.spark, "key bigint, twin bigint, kind tinyint, earlier_key bigint")
-        lists = self._read("postings", cells).select("token", "class", F.col("sig").alias("other"), F.col("size").alias("other_size"), "layer")
+            return empty(self.spark, "key bigint, twin bigint, kind tinyint, now int, earlier_key bigint")
+        lists = self._read("postings", cells).select("token", "class", F.col("sig").alias("other"), F.col("size").alias("other_size"), self._number(F.col("layer")).alias("layer"))
         counts = lists.select("token").join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         # a token in no list was a false alarm of a filter; it counts as rarest too and is looked up in vain
         rank = F.row_number().over(W.partitionBy("sig").orderBy(F.coalesce("df", F.lit(0)), "token"))
@@ -267,52 +296,56 @@ class HistoryStore:
         fits = (F.col("other_size") * under >= F.col("size") * over) & (F.col("size") * under >= F.col("other_size") * over)
         pairs = picked.join(lists, ["token", "class"]).where(fits & (F.col("sig") != F.col("other")))
         pairs = scratch.keep(pairs.select("sig", "size", "other", "other_size", "layer").distinct(), f"pairs-{turn}")
-        in_sets, in_exact = self._cells((pairs, "other"), (pairs.drop("layer"), "other"))
-        # a pair with a rare hash in common is likely near; only their hashes are counted
+        in_sets, in_exact = self._cells(layers, (pairs, "other"), (pairs.drop("layer"), "other"))
+        # a pair with a rare hash in common is likely near; only their hashes are counted (a content is in one layer only)
         theirs = self._read("sets", in_sets).select(F.col("sig").alias("other"), "token")
-        theirs = theirs.join(pairs.select("other").distinct(), "other", "left_semi").distinct()
-        mine = large.select("sig", "token").join(pairs.select("sig").distinct(), "sig", "left_semi")
-        shared = pairs.drop("layer").distinct().join(mine, "sig").join(theirs, ["other", "token"]).groupBy("sig", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
+        shared = pairs.join(large.select("sig", "token"), "sig").join(theirs, ["other", "token"]).groupBy("sig", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
         good = shared.where(F.col("both") * under >= (F.col("size") + F.col("other_size") - F.col("both")) * over).select("sig", "other")
         # when and by whom the near contents were carried first
-        dated = self._read("exact", in_exact).where((F.col("kind") == 1) & (F.col("batch_no") < batch_no))
-        near = good.join(dated.select(F.col("key").alias("other"), "first_key"), "other").groupBy("sig").agg(F.min("first_key").alias("earlier_key"))
-        return near.join(firsts.where("kind = 1").select(F.col("key").alias("sig"), *SAME), "sig").select(*SAME, "earlier_key")
+        dated = self._read("exact", in_exact).where("kind = 1")
+        near = good.join(firsts.where("kind = 1").select(F.col("key").alias("sig"), *SAME, F.col("batch_no").alias("now")), "sig")
+        near = near.join(dated.select(F.col("key").alias("other"), "batch_no", "first_key"), "other").where("batch_no < now")
+        return near.groupBy(*SAME, "now").agg(F.min("first_key").alias("earlier_key"))
 
 
 @dataclass(frozen=True)
 class Batch:
-    """A prepared batch: contents (file_key, token, size, sig, sig_twin), marks (key, twin, kind, record_key), fingerprints (key, kind)."""
+    """A prepared batch: distinct contents (sig, size, token), marks (key, twin, kind, batch_no, record_key), of these the
+    first record of each (firsts), and all fingerprints (key, kind) with their number."""
 
     name: str
     contents: DataFrame
     marks: DataFrame
+    firsts: DataFrame
     prints: DataFrame
     count: int
+    several: bool
 
 
-def forerunners(files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch) -> DataFrame:
-    """All batches, oldest first, offered one by one to a new store.
+def forerunners(files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch, *, per_delivery: int = 2) -> DataFrame:
+    """All batches, oldest first, offered to a new store, ``per_delivery`` consecutive ones at a time.
 
-    The chunks are sorted into their batches once, so that each batch reads its own rows only."""
+    The chunks are sorted into their batches once, so that each delivery reads its own rows only. The rows found are the
+    same for any number; fewer deliveries spare the driver plans."""
     spark = files.sparkSession
     files = files.where("batch_no is not null").select("file_key", "hash", "batch_no")
     ledger = ledger.where("batch_no is not null").select("row_key", "doc_hash", "page", "field_code", "batch_no")
     numbers = sorted(r[0] for r in files.select("batch_no").union(ledger.select("batch_no")).distinct().collect())
+    parts = [numbers[k : k + per_delivery] for k in range(0, len(numbers), per_delivery)]
     placed = chunks.select("file_key", "chunk_hash").join(files.select("file_key", "batch_no").distinct(), "file_key")
     placed.write.partitionBy("batch_no").option("compression", "zstd").parquet(f"{scratch.root}/placed")
     placed = spark.read.schema("file_key bigint, chunk_hash string, batch_no int").parquet(f"{scratch.root}/placed")
     store = HistoryStore(spark, f"{scratch.root}/store")
     out = empty(spark, "record_kind string, earlier_key bigint, later_key bigint")
 
-    def prepare(n: int) -> Batch:
-        part = F.col("batch_no") == n
-        return store.prepare(files.where(part), placed.where(part), ledger.where(part), scratch)
+    def made(part: list[int]) -> Batch:
+        inside = F.col("batch_no").between(part[0], part[-1])
+        return store.prepare(files.where(inside), placed.where(inside), ledger.where(inside), scratch, several=len(part) > 1)
 
-    with ThreadPoolExecutor(1) as ahead:  # the next batch is prepared while one is looked up
-        after = ahead.submit(prepare, numbers[0]) if numbers else None
-        for k, n in enumerate(numbers):
+    with ThreadPoolExecutor(1) as ahead:  # the next delivery is prepared while one is looked up
+        after = ahead.submit(made, parts[0]) if parts else None
+        for k in range(len(parts)):
             batch = after.result()
-            after = ahead.submit(prepare, numbers[k + 1]) if k + 1 < len(numbers) else None
-            out = out.unionByName(store.accept(n, batch, scratch))
+            after = ahead.submit(made, parts[k + 1]) if k + 1 < len(parts) else None
+            out = out.unionByName(store.accept(batch, scratch))
     return out

@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import history as history_mod
-from tidewell.llm import languages as languages_mod
-from tidewell.llm import leaks as leaks_mod
-from tidewell.llm import origins as origins_mod
-from tidewell.llm import packing as packing_mod
-from tidewell.llm import scans as scans_mod
-from tidewell.llm import splitting as splitting_mod
-from tidewell.llm import survivors as survivors_mod
 from tidewell.session import table
 from tidewell.shared import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _op(name: str) -> ModuleType:
+    """An operator's module, imported once it is used: the driver need not hold what other queries import."""
+    return import_module(f"tidewell.llm.{name}")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = table(spark, sf_dir, "ledger")
-    return survivors_mod.duplicate_pairs(survivors_mod.group_duplicates(ledger, Scratch(spark, "p1")))
+    return _op("survivors").duplicate_pairs(_op("survivors").group_duplicates(ledger, Scratch(spark, "p1")))
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, scratch = table(spark, sf_dir, "ledger"), Scratch(spark, "p1")
-    groups = scratch.keep(survivors_mod.group_duplicates(ledger, scratch), "groups")
-    return survivors_mod.survivors(ledger, groups, scratch)
+    groups = scratch.keep(_op("survivors").group_duplicates(ledger, scratch), "groups")
+    return _op("survivors").survivors(ledger, groups, scratch)
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -36,15 +35,15 @@ def _scanned(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans_mod.noise(*_scanned(spark, sf_dir), Scratch(spark, "p2"))
+    return _op("scans").noise(*_scanned(spark, sf_dir), Scratch(spark, "p2"))
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans_mod.repaired(*_scanned(spark, sf_dir), Scratch(spark, "p2"))
+    return _op("scans").repaired(*_scanned(spark, sf_dir), Scratch(spark, "p2"))
 
 
 def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origins_mod.classify(table(spark, sf_dir, "files"), table(spark, sf_dir, "extracted_texts"), Scratch(spark, "p3"))
+    return _op("origins").classify(table(spark, sf_dir, "files"), table(spark, sf_dir, "extracted_texts"), Scratch(spark, "p3"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,32 +51,32 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting_mod.records(table(spark, sf_dir, "extracted_texts"), table(spark, sf_dir, "extracted_pages"))
+    return _op("splitting").records(table(spark, sf_dir, "extracted_texts"), table(spark, sf_dir, "extracted_pages"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting_mod.split_records(_long_records(spark, sf_dir)).where("pieces > 1 and piece_no = 0").select("record_kind", "record_key")
+    return _op("splitting").split_records(_long_records(spark, sf_dir)).where("pieces > 1 and piece_no = 0").select("record_kind", "record_key")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting_mod.with_text(_long_records(spark, sf_dir))
+    return _op("splitting").with_text(_long_records(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [table(spark, sf_dir, t) for t in ("files", "chunks", "ledger")]
-    return history_mod.forerunners(*tables, Scratch(spark, "p5"))
+    return _op("history").forerunners(*tables, Scratch(spark, "p5"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_mod.fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"), Scratch(spark, "p6"))
+    return _op("packing").fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"), Scratch(spark, "p6"))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_mod.fill_rates(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+    return _op("packing").fill_rates(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks_mod.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return _op("leaks").leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +84,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages_mod.identify(table(spark, sf_dir, "documents"))
+    return _op("languages").identify(table(spark, sf_dir, "documents"))
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages_mod.segment_languages(table(spark, sf_dir, "documents"))
+    return _op("languages").segment_languages(table(spark, sf_dir, "documents"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages_mod.mislabelled(p8_languages(spark, sf_dir))
+    return _op("languages").mislabelled(p8_languages(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

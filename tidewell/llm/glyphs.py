@@ -31,14 +31,14 @@ def skeleton_of(word: str, single: dict[str, str] = SINGLE, pairs: tuple[tuple[s
 def to_leaf(names: DataFrame, inside: list[str], column: str) -> DataFrame:
     """Each distinct name with the longer one it begins, where only one such name exists inside the same keys.
 
-    In sorted order all extensions of a name follow it directly, so two windows tell its first complete
-    extension and whether a second one exists; no pairs are built. Adds ``leaf`` and ``ambiguous``.
+    In falling order a name comes directly after all its extensions, so running windows tell its nearest complete
+    extension and whether another one exists: one sort, one pass, no pairs. Adds ``leaf`` and ``ambiguous``.
     """
-    w = W.partitionBy(*inside).orderBy(column)
-    whole = ~F.coalesce(F.startswith(F.lead(column).over(w), F.col(column)), F.lit(False))
+    w = W.partitionBy(*inside).orderBy(F.col(column).desc())
+    whole = ~F.coalesce(F.startswith(F.lag(column).over(w), F.col(column)), F.lit(False))
     out = names.withColumn("_end", F.when(whole, F.col(column)))
-    out = out.withColumn("_then", F.first("_end", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    out = out.withColumn("_then", F.last("_end", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
     pair = F.when(F.col("_end").isNotNull(), F.struct("_end", "_then"))
-    out = out.withColumn("_leaf", F.first(pair, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    out = out.withColumn("_leaf", F.last(pair, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
     clash = (F.col("_leaf._end") != F.col(column)) & F.startswith(F.col("_leaf._then"), F.col(column))
     return out.withColumns({"leaf": F.col("_leaf._end"), "ambiguous": F.coalesce(clash, F.lit(False))}).drop("_end", "_then", "_leaf")

@@ -70,7 +70,7 @@ def group_duplicates(ledger: DataFrame, scratch: Scratch) -> DataFrame:
         F.col("tier").alias("source_class"),
         (F.col("confidence") + 0.05).alias("n"),
     ).where("value <> ''")
-    truth, _ = discover(claims, scratch, "documents")
+    truth = discover(claims, scratch, "documents").truths
     truth = truth.groupBy("object_id").agg(
         F.max(F.when(F.col("attribute") == "payer", F.col("truth"))).alias("payer"),
         F.max(F.when(F.col("attribute") == "year", F.col("truth"))).alias("year"),
@@ -80,8 +80,9 @@ def group_duplicates(ledger: DataFrame, scratch: Scratch) -> DataFrame:
     # a year that no read-out gives may stand in the path
     in_path = F.regexp_extract(F.col("path"), r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1)
     docs = docs.withColumn("year", F.coalesce("year", F.when(in_path != "", in_path)))
-    docs = scratch.keep(docs.withColumn("base", F.regexp_extract("payer", r"^(.*) [^ ]+$", 1)), "docs")
-    # cut-off names across the documents of a silo, looked up among names with the same leading words
+    docs = scratch.keep(docs.withColumn("base", F.coalesce(F.nullif(F.regexp_extract("payer", r"^(.*) [^ ]+$", 1), F.lit("")), F.substring("payer", 1, 3))), "docs")
+    # cut-off names across the documents of a silo, looked up among names with the same leading words, or the same first
+    # three glyphs where there is one word only
     known = docs.where("payer is not null").groupBy("silo", "base", "payer").agg(F.count(F.lit(1)).alias("docs"))
     leaves = to_leaf(known, ["silo", "base"], "payer")
     sure = leaves.where("not ambiguous").select("silo", "base", "payer", "leaf")
@@ -119,12 +120,20 @@ def duplicate_pairs(groups: DataFrame) -> DataFrame:
     )
 
 
+def classes(groups: DataFrame) -> DataFrame:
+    """(row_key, group_id, links): each record with its class and the number of records it is linked to."""
+    sizes = groups.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("links"))
+    return groups.join(sizes, "group_id").select("row_key", "group_id", "links")
+
+
 def survivors(ledger: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per group: the values with most support, field by field, and the best record that agrees with them.
+    """One row per group, built field by field from the votes.
 
-    Columns: group_id, members, row_key (of the chosen record), entity_name, tax_year, form_type,
-    normalized_decimal, source, extractor_tier, confidence, value_support (its share of all votes).
-    Where no record gives an amount, the amount stays null and the most trusted record is chosen.
+    Columns: group_id, members, row_key (of the best record that agrees with the amount), entity_name, tax_year,
+    form_type, normalized_decimal (each the value with most support), source, extractor_tier, confidence (each the best
+    among the records that agree with the amount: the source by the reliability it was found to have, the tier by the
+    order of ``TIERS``, the highest confidence), value_support (the amount's share of all votes). Where no record gives an
+    amount, the amount stays null and all records count as agreeing.
     """
     names = ["entity_name", "tax_year", "form_type", "normalized_decimal"]
     used = ledger.select("row_key", *names, "source", "extractor_tier", "confidence", "created_at").dropDuplicates(["row_key"])
@@ -138,31 +147,38 @@ def survivors(ledger: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFra
         F.coalesce("extractor_tier", F.lit("unknown")).alias("source_class"),
         (F.coalesce("confidence", F.lit(0.3)) + 0.05).alias("n"),
     ).where("value <> ''")
-    truth, _ = discover(claims, scratch, "fields")
+    found = discover(claims, scratch, "fields")
+    truth = found.truths
     wide = truth.groupBy("object_id").agg(
         *[F.max(F.when(F.col("attribute") == n, F.col("truth"))).alias(f"t_{n}") for n in names],
         F.max(F.when(F.col("attribute") == "normalized_decimal", F.col("support") / F.greatest("all_support", F.lit(1e-9)))).alias("value_support"),
     )
     tier = F.coalesce(*[F.when(F.col("extractor_tier") == t, F.lit(len(TIERS) - k)) for k, t in enumerate(TIERS)], F.lit(0))
     whole = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
+    agrees = F.col("t_normalized_decimal").isNull() | F.coalesce(F.col("normalized_decimal").cast("string") == F.col("t_normalized_decimal"), F.lit(False))
     rank = F.struct(
-        F.coalesce(F.col("normalized_decimal").cast("string") == F.col("t_normalized_decimal"), F.lit(False)).alias("agrees"),
+        agrees.alias("agrees"),
         tier.alias("tier"), F.coalesce("confidence", F.lit(0.0)).alias("sure"), whole.alias("whole"),
         F.col("created_at").alias("recent"), (-F.col("row_key")).alias("key"),
     )
     best = (
-        used.join(wide.withColumnRenamed("object_id", "group_id"), "group_id", "left")
+        used.withColumn("source_id", F.concat_ws("\x1f", F.coalesce("extractor_tier", F.lit("unknown")), F.coalesce("source", F.lit(""))))
+        .join(found.weights, "source_id", "left")
+        .join(wide.withColumnRenamed("object_id", "group_id"), "group_id", "left")
         .groupBy("group_id")
         .agg(
             F.count(F.lit(1)).alias("members"),
-            F.max_by(F.struct("row_key", "source", "extractor_tier", "confidence"), rank).alias("best"),
+            F.max_by("row_key", rank).alias("row_key"),
+            F.max_by("source", F.when(F.col("source").isNotNull(), F.struct(agrees, F.coalesce("weight", F.lit(0.0)), tier, F.coalesce("confidence", F.lit(0.0)), "source"))).alias("source"),
+            F.max_by("extractor_tier", F.when(F.col("extractor_tier").isNotNull(), F.struct(agrees, tier, "extractor_tier"))).alias("extractor_tier"),
+            F.coalesce(F.max(F.when(agrees, F.col("confidence"))), F.max("confidence")).alias("confidence"),
             *[F.first(f"t_{n}").alias(f"t_{n}") for n in names],
             F.first("value_support").alias("value_support"),
         )
     )
     return best.select(
-        "group_id", "members", F.col("best.row_key").alias("row_key"), F.col("t_entity_name").alias("entity_name"),
+        "group_id", "members", "row_key", F.col("t_entity_name").alias("entity_name"),
         F.col("t_tax_year").cast("int").alias("tax_year"), F.col("t_form_type").alias("form_type"),
         F.col("t_normalized_decimal").cast("decimal(18,2)").alias("normalized_decimal"),
-        F.col("best.source").alias("source"), F.col("best.extractor_tier").alias("extractor_tier"), F.col("best.confidence").alias("confidence"), "value_support",
+        "source", "extractor_tier", "confidence", "value_support",
     )

@@ -73,10 +73,19 @@ def header_key(line: Column) -> Column:
     return F.when(headed & F.regexp_like(bare, F.lit(r"^[^\p{Ll}]")) & ~F.regexp_like(bare, F.lit(ALONE)) & (F.length(key) >= 6), key)
 
 
-def running_lines(pages: DataFrame) -> DataFrame:
+def edge_lines(pages: DataFrame) -> DataFrame:
+    """(record_kind, record_key, file_key, page_num, keys, numbered) of ``pages``, read once: the header keys of the edge lines,
+    and whether an edge line is, begins with or ends with a printed page number."""
+    lined = pages.select("record_kind", "record_key", "file_key", "page_num", _lines(F.col("text")).alias("lines"))
+    lined = lined.select("record_kind", "record_key", "file_key", "page_num", _edges(F.col("lines")).alias("edges"))
+    keys = F.array_compact(F.array_distinct(F.transform("edges", lambda x: header_key(x))))
+    return lined.select("record_kind", "record_key", "file_key", "page_num", keys.alias("keys"), F.exists(F.slice("edges", 1, 2), numbered).alias("numbered"))
+
+
+def running_lines(edges: DataFrame) -> DataFrame:
     """(file_key, key) of the edge lines that recur on at least two pages of their file."""
-    edge = pages.where("file_key is not null").select("file_key", "page_num", F.explode(F.array_distinct(F.transform(_edges(_lines(F.col("text"))), lambda x: header_key(x)))).alias("key"))
-    seen = edge.where("key is not null").groupBy("file_key", "key").agg(F.min("page_num").alias("low"), F.max("page_num").alias("high"))
+    edge = edges.where("file_key is not null").select("file_key", "page_num", F.explode("keys").alias("key"))
+    seen = edge.groupBy("file_key", "key").agg(F.min("page_num").alias("low"), F.max("page_num").alias("high"))
     # a line cut off at its end counts for the longer one that begins with it
     whole = to_leaf(seen.withColumn("start", F.substring("key", 1, 8)), ["file_key", "start"], "key")
     cut = ~F.col("ambiguous") & (F.length("key") * 5 >= F.length("leaf") * 3)
@@ -85,13 +94,15 @@ def running_lines(pages: DataFrame) -> DataFrame:
     return whole.join(again, ["file_key", "leaf"], "left_semi").select("file_key", "key")
 
 
-def has_page_number(text: Column) -> Column:
+def _inline(line: Column) -> Column:
+    """Whether a page number is set apart at an end of a line that may be a running one."""
+    titled = (F.length(line) <= 80) & F.regexp_like(line, F.lit(r"^[^\p{Ll}]|^p\.|^" + NUMBER + r"\s"))
+    return titled & (F.regexp_like(line, F.lit(AT_END)) | F.regexp_like(line, F.lit(AT_START))) & ~F.regexp_like(line, F.lit(r"^\d+(\|\d+)+$"))
+
+
+def numbered(line: Column) -> Column:
     """Whether an edge line is, begins with or ends with a printed page number."""
-    lines = _lines(text)
-    ends = F.array_compact(F.array(F.get(lines, F.lit(0)), F.try_element_at(lines, F.lit(-1))))
-    titled = lambda x: (F.length(x) <= 80) & F.regexp_like(x, F.lit(r"^[^\p{Ll}]|^p\.|^" + NUMBER + r"\s"))
-    inline = lambda x: titled(x) & (F.regexp_like(x, F.lit(AT_END)) | F.regexp_like(x, F.lit(AT_START))) & ~F.regexp_like(x, F.lit(r"^\d+(\|\d+)+$"))
-    return F.exists(ends, lambda x: F.regexp_like(x, F.lit(ALONE)) | inline(x))
+    return F.regexp_like(line, F.lit(ALONE)) | _inline(line)
 
 
 def _flow(text: Column) -> Column:
@@ -139,7 +150,7 @@ def misread_words(recs: DataFrame, scratch: Scratch) -> DataFrame:
     asked = unsure.select(F.col("before").alias("a"), F.col("meant").alias("b")).unionByName(unsure.select(F.col("meant").alias("a"), F.col("after").alias("b")))
     asked = asked.unionByName(unsure.select(F.col("before").alias("a"), F.col("word").alias("b"))).unionByName(unsure.select(F.col("word").alias("a"), F.col("after").alias("b"))).where("a is not null and b is not null").distinct()
     couples = base.select(F.explode(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
-    couples = couples.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).join(asked, ["a", "b"], "left_semi")
+    couples = couples.join(asked, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
     couples = scratch.keep(couples, "couples")
     # a misread form stands where the form meant stands often; a word of its own keeps company of its own
     before = lambda form: couples.select(F.col("a").alias("before"), F.col("b").alias(form), F.col("k").alias(f"{form}_left"))
@@ -174,11 +185,10 @@ def broken_words(recs: DataFrame, scratch: Scratch) -> DataFrame:
 def noise(pages: DataFrame, regions: DataFrame, images: DataFrame, scratch: Scratch) -> DataFrame:
     """(record_kind, record_key, noise_kind), one row per record and kind."""
     recs = scratch.keep(records(pages, regions, images), "records")
-    page = recs.where("record_kind = 'page'")
-    running = running_lines(page)
-    lined = page.select("record_kind", "record_key", "file_key", F.explode(F.array_distinct(F.transform(_edges(_lines(F.col("text"))), lambda x: header_key(x)))).alias("key"))
-    header = lined.join(running, ["file_key", "key"], "left_semi").select("record_kind", "record_key").distinct()
-    number = page.where(has_page_number(F.col("text"))).select("record_kind", "record_key")
+    edges = scratch.keep(edge_lines(recs.where("record_kind = 'page'")), "edges")
+    lined = edges.select("record_kind", "record_key", "file_key", F.explode("keys").alias("key"))
+    header = lined.join(running_lines(edges), ["file_key", "key"], "left_semi").select("record_kind", "record_key").distinct()
+    number = edges.where("numbered").select("record_kind", "record_key")
     misread = misread_words(recs, scratch).select("record_kind", "record_key").distinct()
     kinds = {"hyphen": broken_words(recs, scratch), "character": misread, "header": header, "page_number": number}
     out = None
@@ -189,36 +199,72 @@ def noise(pages: DataFrame, regions: DataFrame, images: DataFrame, scratch: Scra
 
 
 def repaired(pages: DataFrame, regions: DataFrame, images: DataFrame, scratch: Scratch) -> DataFrame:
-    """(record_kind, record_key, paragraph, text): the records as continuous paragraphs, from 1 on, without noise."""
+    """(record_kind, record_key, paragraph, text): the records as continuous paragraphs, from 1 on, without noise.
+
+    The pages of a file are read on from one to the next: a word broken at the end of a page is joined, and a paragraph
+    that goes on belongs to the page on which it begins. The same lines and words that :func:`noise` reports are
+    removed and mended: running lines, printed numbers (within a line only the number goes), broken and
+    misread words. A hyphen at a line end stays where the corpus writes the compound with it or a capital follows."""
     recs = scratch.keep(records(pages, regions, images), "records")
-    misread = misread_words(recs, scratch).groupBy("record_kind", "record_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("fixes"))
-    line = recs.select("record_kind", "record_key", "file_key", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line"))
-    line = line.withColumn("line", F.trim(F.regexp_replace("line", r"[\t ]+", " "))).withColumn("key", header_key(F.col("line")))
-    whole = W.partitionBy("record_kind", "record_key").orderBy("at")
-    ends = W.partitionBy("record_kind", "record_key")
-    line = line.withColumns({"first": F.min(F.when(F.col("line") != "", F.col("at"))).over(ends), "last": F.max(F.when(F.col("line") != "", F.col("at"))).over(ends)})
-    running = running_lines(recs.where("record_kind = 'page'")).withColumn("runs", F.lit(True))
-    line = line.join(running, ["file_key", "key"], "left")
-    edge = (F.col("record_kind") == "page") & ((F.col("at") <= F.col("first") + 1) | (F.col("at") >= F.col("last") - 1))
-    gone = edge & (F.coalesce("runs", F.lit(False)) | (F.regexp_like("line", F.lit(ALONE)) & ((F.col("at") == F.col("first")) | (F.col("at") == F.col("last")))))
-    line = line.where(~gone).withColumn("paragraph", F.sum((F.col("line") == "").cast("int")).over(whole))
-    line = line.where("line <> ''").withColumn("broken", F.regexp_like("line", F.lit(rf"\p{{L}}[{MARKS}]$")))
-    # a compound keeps its hyphen where its second part begins the next line
-    after = F.lead("line").over(W.partitionBy("record_kind", "record_key", "paragraph").orderBy("at"))
-    halves = F.regexp_extract("line", r"(\p{L}+)-$", 1), F.regexp_extract(after, r"^(\p{Ll}+)", 1)
-    line = line.withColumn("compound", F.coalesce(F.when((halves[0] != "") & (halves[1] != ""), F.lower(F.concat_ws("-", *halves))), F.concat(F.lit(" "), F.col("record_key").cast("string"))))
-    line = line.join(_compounds(recs).withColumn("kept", F.lit(True)), "compound", "left")
-    glued = F.when(F.col("kept"), F.col("line")).when(F.col("broken"), F.regexp_replace("line", rf"[{MARKS}]$", "")).otherwise(F.concat("line", F.lit(" ")))
-    flow = line.groupBy("record_kind", "record_key", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", glued.alias("piece")))), lambda x: x["piece"]), "").alias("text"))
-    flow = flow.join(misread, ["record_kind", "record_key"], "left")
-    parts = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}!|$]+|[^\p{L}\p{N}!|$]+)"), F.lit(1))
+    misread = misread_words(recs, scratch).groupBy("record_kind", "record_key").agg(F.collect_list(F.struct("word", "meant")).alias("fixes"))
+    running = running_lines(scratch.keep(edge_lines(recs.where("record_kind = 'page'")), "edges")).withColumn("runs", F.lit(True))
+    page = F.col("record_kind") == "page"
+    # pages of one file are one text; everything else stands alone
+    unit = F.when(page & F.col("file_key").isNotNull(), F.concat(F.lit("file"), F.col("file_key").cast("string"))).otherwise(F.concat_ws("-", "record_kind", "record_key"))
+    line = recs.select("record_kind", "record_key", "file_key", unit.alias("unit"), F.coalesce("page_num", F.lit(0)).alias("page_num"), F.posexplode(F.split("text", r"\r?\n")).alias("at", "line"))
+    # as in edge_lines, so that both see the same keys
+    line = line.withColumn("line", F.trim(F.regexp_replace("line", r"[\t ]", " ")))
+    mine = W.partitionBy("unit", "page_num", "record_key")
+    inked = F.col("line") != ""
+    line = line.withColumn("n", F.sum(inked.cast("int")).over(mine.orderBy("at"))).withColumn("all", F.max("n").over(mine))
+    first, last = inked & (F.col("n") == 1), inked & (F.col("n") == F.col("all"))
+    alone = inked & F.regexp_like("line", F.lit(ALONE))
+    ends = line.withColumns({"first": page & first, "last": page & last, "alone": page & (first | last) & alone})
+    near = ends.withColumns({"head": F.max(F.col("first") & F.col("alone")).over(mine), "foot": F.max(F.col("last") & F.col("alone")).over(mine)})
+    edge = F.col("first") | F.col("last") | (page & inked & ((F.col("head") & (F.col("n") == 2)) | (F.col("foot") & (F.col("n") == F.col("all") - 1))))
+    told = near.withColumn("key", F.when(edge, header_key(F.col("line")))).join(running, ["file_key", "key"], "left")
+    told = told.where(~(F.col("alone") | F.coalesce("runs", F.lit(False))))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("line", AT_END, ""), AT_START, ""))
+    kept = told.withColumn("line", F.trim(F.regexp_replace(F.when((F.col("first") | F.col("last")) & _inline(F.col("line")), bare).otherwise(F.col("line")), " +", " ")))
+    # breaks between paragraphs: blank lines, and new records unless the text before them goes on
+    flow = W.partitionBy("unit").orderBy("page_num", "record_key", "at")
+    kept = kept.withColumn("blank", F.sum((F.col("line") == "").cast("int")).over(mine.orderBy("at"))).where("line <> ''")
+    before = {c: F.lag(c).over(flow) for c in ("line", "record_key", "blank")}
+    open_end = ~F.regexp_like(before["line"], F.lit(r"[.?!:;…][\"'»”)\]]*$"))
+    goes_on = open_end & F.regexp_like("line", F.lit(r"^\p{Ll}"))
+    new = before["line"].isNull() | F.when(before["record_key"] == F.col("record_key"), before["blank"] != F.col("blank")).otherwise(~goes_on)
+    kept = kept.withColumn("paragraph", F.sum(new.cast("int")).over(flow))
+    # broken words: the next line of the paragraph tells whether the mark goes
+    after = F.lead("line").over(W.partitionBy("unit", "paragraph").orderBy("page_num", "record_key", "at"))
+    kept = kept.withColumns({"mark": F.regexp_extract("line", rf"\p{{L}}([{MARKS}])$", 1), "next": after})
+    halves = F.regexp_extract("line", r"(\p{L}+)-$", 1), F.regexp_extract("next", r"^(\p{Ll}+)", 1)
+    # a line without a compound meets none: a key of its own spreads such lines over all tasks
+    compound = F.when((halves[0] != "") & (halves[1] != ""), F.lower(F.concat_ws("-", *halves)))
+    kept = kept.withColumn("compound", F.coalesce(compound, F.concat_ws(" ", F.lit(""), "record_key", "at")))
+    kept = kept.join(_compounds(recs).withColumn("known", F.lit(True)), "compound", "left")
+    hyphen, soft = F.col("mark") == "-", (F.col("mark") != "") & (F.col("mark") != "-")
+    whole = F.regexp_replace("line", rf"[{MARKS}]$", "")
+    glued = (
+        F.when(F.col("next").isNull(), F.when(soft, whole).otherwise(F.col("line")))
+        .when(soft | (hyphen & ~F.coalesce("known", F.lit(False)) & F.regexp_like("next", F.lit(r"^\p{Ll}"))), whole)
+        .when(hyphen, F.col("line")).otherwise(F.concat("line", F.lit(" ")))
+    )
+    kept = kept.join(misread, ["record_kind", "record_key"], "left")
+    piece = F.struct("page_num", "record_key", "at", glued.alias("piece"), "record_kind", "fixes")
+    parts = kept.groupBy("unit", "paragraph").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    parts = parts.select(
+        F.col("p")[0]["record_kind"].alias("record_kind"), F.col("p")[0]["record_key"].alias("record_key"), "paragraph",
+        F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"),
+        F.array_distinct(F.flatten(F.filter(F.transform("p", lambda x: x["fixes"]), lambda x: x.isNotNull()))).alias("fixes"),
+    )
+    tokens = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}!|$]+|[^\p{L}\p{N}!|$]+)"), F.lit(1))
 
     def mend(part: Column) -> Column:
-        meant = F.try_element_at("fixes", F.lower(part))
+        meant = F.get(F.filter("fixes", lambda x: x["word"] == F.lower(part)), F.lit(0))["meant"]
         upper = (F.upper(part) == part) & (F.length(part) > 1)
         title = F.regexp_like(part, F.lit(r"^\p{Lu}"))
         return F.coalesce(F.when(upper, F.upper(meant)).when(title, F.initcap(meant)).otherwise(meant), part)
 
-    text = F.when(F.col("fixes").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, mend), ""))
+    text = F.when(F.size("fixes") == 0, F.col("text")).otherwise(F.array_join(F.transform(tokens, mend), ""))
     order = F.row_number().over(W.partitionBy("record_kind", "record_key").orderBy("paragraph"))
-    return flow.select("record_kind", "record_key", order.alias("paragraph"), F.trim(text).alias("text"))
+    return parts.select("record_kind", "record_key", order.alias("paragraph"), F.trim(text).alias("text"))

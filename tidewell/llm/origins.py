@@ -50,19 +50,24 @@ DIR_GIVEN_DIR = {
 ROOT = (0.96, 0.01, 0.01, 0.01, 0.01)
 
 
-def _sum_exp(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top)))
+def _messages(df: DataFrame, belief: list[Column], given: list[tuple[float, ...]], out: list[str]) -> DataFrame:
+    """``df`` with the columns ``out``: the log of the sum over k of exp(belief k) times given[d][k], for each d.
 
+    In three steps, each column made once: as one expression their code would outgrow what the compiler takes."""
+    parts = {f"_x{d}_{k}": b + F.lit(math.log(row[k])) for d, row in enumerate(given) for k, b in enumerate(belief)}
+    tops = {f"_t{d}": F.greatest(*[F.col(f"_x{d}_{k}") for k in range(len(belief))]) for d in range(len(given))}
+    sums = {c: F.col(f"_t{d}") + F.log(sum((F.exp(F.col(f"_x{d}_{k}") - F.col(f"_t{d}")) for k in range(len(belief))), F.lit(0.0))) for d, c in enumerate(out)}
+    return df.withColumns(parts).withColumns(tops).withColumns(sums).drop(*parts, *tops)
 
-def _upward(belief: list[Column], table: dict[str, tuple[float, ...]]) -> list[Column]:
-    """Message of an entry to its directory, for each label of the directory."""
-    return [_sum_exp([b + F.lit(math.log(p)) for b, p in zip(belief, table[d])]) for d in LABELS]
 
+def _up(table: dict[str, tuple[float, ...]]) -> list[tuple[float, ...]]:
+    """From an entry to its directory: for each label of the directory, over those of the entry."""
+    return [table[d] for d in LABELS]
 
-def _downward(belief: list[Column], table: dict[str, tuple[float, ...]]) -> list[Column]:
-    """Message of a directory to an entry, for each label of the entry."""
-    return [_sum_exp([b + F.lit(math.log(table[d][k])) for b, d in zip(belief, LABELS)]) for k in range(len(LABELS))]
+
+def _down(table: dict[str, tuple[float, ...]]) -> list[tuple[float, ...]]:
+    """From a directory to an entry: for each label of the entry, over those of the directory."""
+    return [tuple(table[d][k] for d in LABELS) for k in range(len(LABELS))]
 
 
 def _evidence(**points: list[tuple[Column, float]]) -> list[Column]:
@@ -164,8 +169,11 @@ def _sizes(files: DataFrame) -> list[Column]:
     return out
 
 
-def classify(files: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(file_key, label, confidence, p_handwritten) of every source file."""
+def classify(files: DataFrame, texts: DataFrame, scratch: Scratch, silos: DataFrame | None = None) -> DataFrame:
+    """(file_key, label, confidence, p_handwritten) of every source file.
+
+    ``silos`` (slug, path) gives the folder of each silo; the folder right below it names the project, whose own
+    copyright marks are not foreign. Without it, or for a path outside its silo's folder, every holder is foreign."""
     cols = [f"e{k}" for k in range(len(LABELS))]
     sums = lambda prefix: [F.sum(f"m{k}").alias(f"{prefix}{k}") for k in range(len(LABELS))]
     path = F.regexp_replace(F.regexp_replace("path", r"\\", "/"), "/+", "/")
@@ -173,9 +181,15 @@ def classify(files: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     source = files.select("file_key", F.coalesce("silo", F.lit("")).alias("silo"), path.alias("path"), "size").where(F.regexp_extract(base, r"\.([a-z]+)$", 1).isin(*EXTENSIONS))
     source = source.select("file_key", "size", base.alias("base"), F.concat_ws("\x1f", "silo", F.regexp_replace("path", r"/[^/]*$", "")).alias("dir"))
     best = texts.where(F.length(F.trim("text")) > 0).select("file_key", "text").groupBy("file_key").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"))
-    # the folder right below the silo's own is taken for the project's name
-    project = F.get(F.split("dir", "/"), F.lit(4))
-    read = text_features(source.join(best, "file_key", "left").withColumn("project", project)).drop("text")
+    source = source.join(best, "file_key", "left")
+    if silos is None:
+        source = source.withColumn("project", F.lit(None).cast("string"))
+    else:
+        root = F.rtrim(F.trim(F.regexp_replace(F.regexp_replace("path", r"\\", "/"), "/+", "/")), F.lit("/"))
+        roots = silos.where("path is not null and slug is not null").groupBy(F.col("slug").alias("silo")).agg(F.min(root).alias("root"))
+        below = F.when(F.startswith("dir", F.concat_ws("\x1f", "silo", F.concat("root", F.lit("/")))), F.substring(F.col("dir"), F.length("silo") + F.length("root") + 3, F.length("dir")))
+        source = source.withColumn("silo", F.split_part("dir", F.lit("\x1f"), F.lit(1))).join(roots, "silo", "left").withColumn("project", F.split_part(below, F.lit("/"), F.lit(1))).drop("silo", "root")
+    read = text_features(source).drop("text")
     marks = text_evidence()
     seen = read.select("file_key", "dir", "base", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int")).alias("size_bin"), *[m.alias(c) for m, c in zip(marks, cols)])
     top = F.greatest(*cols)
@@ -197,41 +211,45 @@ def classify(files: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     named = seen.withColumn("library", stem).join(libraries, "library", "left")
     known = F.col("places").isNotNull()
     belief = [F.col(c) + n + s for c, n, s in zip(cols, name_evidence(F.col("base"), known), _sizes(seen))]
-    named = named.select("file_key", "dir", *[b.alias(c) for b, c in zip(belief, cols)])
-    named = scratch.keep(named.select("*", *[m.alias(f"m{k}") for k, m in enumerate(_upward([F.col(c) for c in cols], FILE_GIVEN_DIR))]), "evidence")
+    # beliefs are written before the messages are made of them: together their code would be too long to compile
+    named = scratch.keep(named.select("file_key", "dir", *[b.alias(c) for b, c in zip(belief, cols)]), "beliefs")
+    sent = [f"m{k}" for k in range(len(LABELS))]
+    named = scratch.keep(_messages(named, [F.col(c) for c in cols], _up(FILE_GIVEN_DIR), sent), "evidence")
 
     levels = sorted((r[0] for r in dirs.select("depth").distinct().collect()), reverse=True)
-    inbox = scratch.keep(named.groupBy("dir").agg(*sums("i")), "inbox")
+    inbox = scratch.keep(named.groupBy("dir").agg(*sums("i")).withColumn("depth", F.size(F.split("dir", "/"))), "inbox")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     up: dict[int, DataFrame] = {}
     below: DataFrame | None = None
     for depth in levels:
-        got = inbox if below is None else inbox.unionByName(below).groupBy("dir").agg(*[F.sum(f"i{k}").alias(f"i{k}") for k in range(len(LABELS))])
+        own = inbox.where(F.col("depth") == depth).drop("depth")
+        got = own if below is None else own.unionByName(below).groupBy("dir").agg(*[F.sum(f"i{k}").alias(f"i{k}") for k in range(len(LABELS))])
         now = dirs.where(F.col("depth") == depth).join(got, "dir", "left")
         now = now.select("dir", "parent", *[(F.col(c) + zero(F.col(f"i{k}"))).alias(c) for k, c in enumerate(cols)])
         # a conventional name settles what a directory is whatever its parent: no message passes that edge
         now = now.withColumn("free", ~_conventional("dir"))
-        now = now.select("*", *[F.when(F.col("free"), m).otherwise(0.0).alias(f"m{k}") for k, m in enumerate(_upward([F.col(c) for c in cols], DIR_GIVEN_DIR))])
+        now = _messages(now, [F.col(c) for c in cols], _up(DIR_GIVEN_DIR), sent).withColumns({m: F.when(F.col("free"), F.col(m)).otherwise(0.0) for m in sent})
         up[depth] = scratch.keep(now, f"up{depth}")
         below = up[depth].where("parent is not null").groupBy(F.col("parent").alias("dir")).agg(*sums("i"))
     above: DataFrame | None = None
-    final: DataFrame | None = None
     for depth in reversed(levels):
         if above is None:
             now = up[depth].select("dir", *[(F.col(c) + F.lit(math.log(p))).alias(c) for c, p in zip(cols, ROOT)])
         else:
             told = up[depth].alias("c").join(above.alias("p"), F.col("c.parent") == F.col("p.dir"))
-            rest = [F.col(f"p.{c}") - F.col(f"c.m{k}") for k, c in enumerate(cols)]
-            from_above = [F.when(F.col("c.free"), d).otherwise(math.log(p)) for d, p in zip(_downward(rest, DIR_GIVEN_DIR), ROOT)]
-            now = told.select("c.dir", *[(F.col(f"c.{c}") + d).alias(c) for c, d in zip(cols, from_above)])
+            told = told.select("c.dir", "c.free", *[F.col(f"c.{c}").alias(c) for c in cols], *[(F.col(f"p.{c}") - F.col(f"c.{m}")).alias(f"r{k}") for k, (c, m) in enumerate(zip(cols, sent))])
+            told = _messages(told, [F.col(f"r{k}") for k in range(len(cols))], _down(DIR_GIVEN_DIR), [f"d{k}" for k in range(len(cols))])
+            now = told.select("dir", *[(F.col(c) + F.when(F.col("free"), F.col(f"d{k}")).otherwise(math.log(p))).alias(c) for k, (c, p) in enumerate(zip(cols, ROOT))])
         above = scratch.keep(now, f"down{depth}")
-        final = above if final is None else final.unionByName(above)
-    if final is None:
+    if above is None:
         final = inbox.select("dir", *[F.col(f"i{k}").alias(c) for k, c in enumerate(cols)])
+    else:  # one scan of all levels: a union would repeat the code of what follows for each of them
+        final = files.sparkSession.read.schema(above.schema).parquet(*[f"{scratch.root}/down{d}" for d in levels])
     told = named.alias("f").join(final.alias("d"), "dir")
-    rest = [F.col(f"d.{c}") - F.col(f"f.m{k}") for k, c in enumerate(cols)]
-    score = told.select("f.file_key", *[(F.col(f"f.{c}") + d).alias(c) for c, d in zip(cols, _downward(rest, FILE_GIVEN_DIR))])
-    whole = _sum_exp([F.col(c) for c in cols])
-    top = F.greatest(*cols)
+    told = told.select("f.file_key", *[F.col(f"f.{c}").alias(c) for c in cols], *[(F.col(f"d.{c}") - F.col(f"f.{m}")).alias(f"r{k}") for k, (c, m) in enumerate(zip(cols, sent))])
+    told = _messages(told, [F.col(f"r{k}") for k in range(len(cols))], _down(FILE_GIVEN_DIR), [f"d{k}" for k in range(len(cols))])
+    score = told.select("file_key", *[(F.col(c) + F.col(f"d{k}")).alias(c) for k, c in enumerate(cols)])
+    score = _messages(score, [F.col(c) for c in cols], [(1.0,) * len(cols)], ["_whole"])
+    whole, top = F.col("_whole"), F.greatest(*cols)
     label = F.coalesce(*[F.when(F.col(c) == top, name) for c, name in zip(cols, LABELS)])
     return score.select("file_key", label.alias("label"), F.exp(top - whole).alias("confidence"), F.exp(F.col("e0") - whole).alias("p_handwritten"))

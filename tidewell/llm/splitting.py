@@ -91,7 +91,8 @@ def piece_ends(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Colu
         for batch in batches:
             yield batch.map(lambda t: None if t is None else cuts(t, limit, overlap))
 
-    return ends(text)
+    # told to be non-deterministic, so that no filter on its result makes a second run of it
+    return ends.asNondeterministic()(text)
 
 
 def split_records(texts: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidewell.shared import Scratch
 
-GROUP = 8000
-#: Capacity tokens per segment and the share of a container that may bear loss.
+GROUP = 2000
+#: Capacity tokens per segment and the share of a container that may bear loss: choices of this library, to be set by the user.
 TOKENS_PER_SEGMENT, LOSS_SHARE = 32, 0.95
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,9 +96,9 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return place
 
 
-def limits_of(capacity: int) -> np.ndarray:
+def limits_of(capacity: int, tokens_per_segment: int = TOKENS_PER_SEGMENT, loss_share: float = LOSS_SHARE) -> np.ndarray:
     """Tokens, segments and loss-bearing tokens that a container of this capacity holds."""
-    return np.array([capacity, max(1, capacity // TOKENS_PER_SEGMENT), max(1, int(capacity * LOSS_SHARE))], dtype=float)
+    return np.array([capacity, max(1, capacity // tokens_per_segment), max(1, int(capacity * loss_share))], dtype=float)
 
 
 def _filler(kind: str, limits: np.ndarray):  # noqa: ANN202
@@ -113,13 +113,13 @@ def _filler(kind: str, limits: np.ndarray):  # noqa: ANN202
     return fill
 
 
-def fill_containers(documents: DataFrame, pack_sizes: DataFrame, scratch: Scratch, *, path: str = TOKENIZER, group: int = GROUP) -> DataFrame:
+def fill_containers(documents: DataFrame, pack_sizes: DataFrame, scratch: Scratch, *, path: str = TOKENIZER, group: int = GROUP, tokens_per_segment: int = TOKENS_PER_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
     """(container_kind, container, doc_id, piece, token_start, tokens, loss_tokens): which container holds what."""
     counts = scratch.keep(token_counts(documents, path).where("tokens > 0"), "tokens")
     kinds = pack_sizes.select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).where("capacity > 0 and container_kind is not null").distinct()
     out = None
     for kind, capacity in sorted((r[0], r[1]) for r in kinds.collect()):  # a handful of capacities
-        limits = limits_of(capacity)
+        limits = limits_of(capacity, tokens_per_segment, loss_share)
         parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(capacity))).cast("int")
         items = counts.withColumn("parts", parts).select("doc_id", "tokens", "prompt_tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
         begin = (F.col("piece") * F.lit(capacity)).cast("bigint")
@@ -137,8 +137,15 @@ def fill_containers(documents: DataFrame, pack_sizes: DataFrame, scratch: Scratc
 
 
 def fill_rates(packed: DataFrame, pack_sizes: DataFrame) -> DataFrame:
-    """(container_kind, containers, tokens, unused_share) of a packing."""
-    boxes = packed.groupBy("container_kind").agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
-    return boxes.join(pack_sizes.select("container_kind", "capacity_tokens").distinct(), "container_kind").select(
-        "container_kind", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share")
+    """(container_kind, containers, tokens, unused_share, least_containers, over_loss) of a packing.
+
+    ``least_containers`` is the lower bound that the tokens alone give; ``over_loss`` counts containers above the
+    limit of loss-bearing tokens: each holds one text or piece that alone bears more, and no other bears any."""
+    boxes = packed.groupBy("container_kind", "container").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss"))
+    told = boxes.join(F.broadcast(pack_sizes.select("container_kind", "capacity_tokens").distinct()), "container_kind")
+    over = F.col("loss") > F.greatest(F.lit(1), F.floor(F.col("capacity_tokens") * F.lit(LOSS_SHARE)))
+    made = told.groupBy("container_kind", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.count_if(over).alias("over_loss"))
+    return made.select(
+        "container_kind", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share"),
+        F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), "over_loss",
     )

@@ -1,17 +1,19 @@
 """Problem 7: passages of evaluation items inside training documents.
 
 Windows of a size proportional to the item (a quarter of its words, from a few fixed sizes) are fingerprinted by
-SimHash over their weighted words, at every position of an item and at every position of a document seven tenths of
-whose words are words of the items. A multi-index over eight blocks of the 64 bits finds every item window within
-Hamming distance seven of a document window, for two such fingerprints must agree in a whole block. Each document
-and item that meet are then compared exactly: the words of the passage that the document holds in order and in runs
+SimHash over their weighted words, at every position of an item and at every position of a document where at least half
+of the words are words of the items: a stretch that holds half of an item has, on average, so many in each of its
+windows, so its densest window is never left out. A multi-index over four blocks of 16 bits finds every item window within
+Hamming distance seven of a document window, for two such fingerprints differ in at most one bit of some block; item
+windows stand under all values within one bit, documents look up their own. Each document and item that meet are then compared exactly: the words of the passage that the document holds in order and in runs
 of two or more, close together, counted and weighted by how rare they are among the documents.
 
 The items are a stated query set: they are split into blocks of ``BLOCK`` items, each of which travels to the tasks
 with its index (a few hundred kilobytes), and every document is read whole against each block. Nothing is
 joined and nothing shuffled but word counts and hits.
 
-Defined results: null or blank texts and passages hold nothing; items of fewer than ``LEAST`` words are not sought;
+Defined results: null or blank texts and passages hold nothing; items of fewer than ``LEAST`` words, too short for
+windows, are found where a document holds all their words in a row;
 repeated documents are each reported once per doc_id; letter case, punctuation, white space, line breaks and
 the separators inside numbers make no difference; empty tables give no rows.
 """
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Items that one pass over the documents looks for.
-BLOCK = 2000
+BLOCK = 1000
 LEAST = 6
 SIZES = (4, 6, 8, 10, 12, 16, 24, 32)
-RADIUS, BLOCKS = 7, 8
+RADIUS, BLOCKS = 7, 4
 #: Share of the passage's words, and of their weight, that a document must hold.
-SHARE, WEIGHT = 0.47, 0.42
+SHARE, WEIGHT = 0.5, 0.5
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-­‐]\s*\n\s*(?=[^\W\d_])")
 _SIGNS = np.random.default_rng(7).integers(0, 2, size=(1 << 12, 64), dtype=np.int8) * 2 - 1
@@ -54,39 +56,58 @@ def _row(word: str) -> int:
 
 
 class ItemIndex:
-    """Fingerprints of the windows of a block of items, in a table for each of eight 8-bit blocks."""
+    """Fingerprints of the windows of a block of items, in a table for each of four 16-bit blocks: of seven differing
+    bits one block has at most one, so each window stands under the 17 values within one bit of its own."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], documents: int) -> None:
         self.keys = [k for k, _ in items]
         self.words = [tokens(p) for _, p in items]
         self.vocab = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         names = list(self.vocab)
-        self.weight = np.array([np.log1p((documents + 1) / (1 + df.get(w, 0))) for w in names] + [1.0], dtype=np.float32)
+        # whole numbers: sums of them are exact in any order
+        self.weight = np.array([np.log1p((documents + 1) / (1 + df.get(w, 0))) for w in names] + [1.0])
+        self.weight = np.rint(self.weight * 64).astype(np.int32)
         self.row = np.array([_row(w) for w in names] + [0], dtype=np.int64)
         self.ids = [np.array([self.vocab[w] for w in ws], dtype=np.int64) for ws in self.words]
         self.size = [max(s for s in SIZES if s <= max(4, len(w) // 4)) for w in self.words]
+        # items too short for windows are sought as a whole, by their first word
+        self.short: dict[int, list[int]] = {}
+        for k, ids in enumerate(self.ids):
+            if 0 < len(ids) < LEAST:
+                self.short.setdefault(int(ids[0]), []).append(k)
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
         for size in set(self.size):
             prints, owner = [], []
             for k, ids in enumerate(self.ids):
-                if self.size[k] == size and len(ids) >= size:
+                if self.size[k] == size and len(ids) >= LEAST:
                     marks = self.fingerprints(self.row[ids], self.weight[ids], np.arange(len(ids) - size + 1), size)
                     prints.append(marks)
                     owner.append(np.full(len(marks), k))
+            if not prints:
+                continue
             marks, owners = np.concatenate(prints), np.concatenate(owner)
             tables = []
             for b in range(BLOCKS):
-                part = ((marks >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                tables.append((order, np.searchsorted(part[order], np.arange(257))))
+                part = ((marks >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+                # every value that differs from the block in one bit at most
+                wide = np.concatenate([part, *[part ^ (1 << k) for k in range(16)]])
+                order = np.argsort(wide, kind="stable")
+                tables.append(((order % len(part)).astype(np.int32), np.searchsorted(wide[order], np.arange(65537)).astype(np.int32)))
             self.by_size[size] = (marks, owners, tables)
 
     @staticmethod
     def fingerprints(rows: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         out = []
-        for k in range(0, len(starts), 2048):
-            at = starts[k : k + 2048, None] + np.arange(size)
-            out.append(_pack(np.einsum("wsb,ws->wb", _SIGNS[rows[at]].astype(np.float32), weights[at])))
+        for k in range(0, len(starts), 4096):
+            part = starts[k : k + 4096]
+            low, high = int(part[0]), int(part[-1]) + size
+            if len(part) * size < high - low:  # few windows, far apart
+                at = part[:, None] + np.arange(size)
+                out.append(_pack(np.einsum("wsb,ws->wb", _SIGNS[rows[at]].astype(np.int32), weights[at])))
+            else:
+                run = np.zeros((high - low + 1, 64), dtype=np.int32)
+                np.cumsum(_SIGNS[rows[low:high]] * weights[low:high, None], axis=0, dtype=np.int32, out=run[1:])
+                out.append(_pack(run[part - low + size] - run[part - low]))
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
     def near(self, marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +115,11 @@ class ItemIndex:
         kept, owners, tables = self.by_size[size]
         left, right = [], []
         for b, (order, edge) in enumerate(tables):
-            part = ((marks >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
+            part = ((marks >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
             low, count = edge[part], edge[part + 1] - edge[part]
-            mine = np.repeat(np.arange(len(marks)), count)
+            hit = np.flatnonzero(count)
+            low, count = low[hit], count[hit]
+            mine = np.repeat(hit, count)
             step = np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)
             theirs = order[np.repeat(low, count) + step]
             close = np.bitwise_count(marks[mine] ^ kept[theirs]) <= RADIUS
@@ -122,17 +145,24 @@ class ItemIndex:
     def search(self, text: str) -> list[tuple[int, float, float]]:
         """(item_id, share, weight) of every item that the text holds enough of."""
         found = tokens(text)
-        if len(found) < 4:
+        if not found:
             return []
         get, none = self.vocab.get, len(self.vocab)
         ids = np.array([get(w, none) for w in found], dtype=np.int64)
         known = np.concatenate([[0], np.cumsum(ids != none)])
+        out = []
+        for item in sorted({k for first in set(ids.tolist()) & self.short.keys() for k in self.short[first]}):
+            mine = self.ids[item]
+            at = np.flatnonzero(ids[: max(0, len(ids) - len(mine) + 1)] == mine[0])
+            if len(at) and (ids[at[:, None] + np.arange(len(mine))] == mine).all(axis=1).any():
+                out.append((self.keys[item], 1.0, 1.0))
         hits: dict[int, list[int]] = {}
         for size in self.by_size:
             if len(ids) < size:
                 continue
             inside = known[size:] - known[:-size]
-            starts = np.flatnonzero(inside * 10 >= size * 7)
+            # a stretch that holds half of an item holds a window at least as dense; none below that can begin a case
+            starts = np.flatnonzero(inside * 2 >= size)
             for k in range(0, len(starts), 4096):
                 part = starts[k : k + 4096]
                 low, high = int(part[0]), int(part[-1]) + size
@@ -143,7 +173,6 @@ class ItemIndex:
                 at, items = self.near(marks, size)
                 for pair in np.unique(np.stack([items, part[at]], axis=1), axis=0):
                     hits.setdefault(int(pair[0]), []).append(int(pair[1]))
-        out = []
         for item, places in hits.items():
             length = len(self.ids[item])
             best = (0.0, 0.0)
@@ -193,7 +222,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     def passes() -> Iterator[list[tuple[int, str]]]:
         part: list[tuple[int, str]] = []
         for r in asked.toLocalIterator():
-            if len(tokens(r["passage"])) >= LEAST:
+            if tokens(r["passage"]):
                 part.append((r["item_id"], r["passage"]))
             if len(part) == BLOCK:
                 yield part

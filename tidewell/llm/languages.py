@@ -26,8 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.shared import Scratch
+
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt")
 #: Usual names of the languages: codes of two and three letters and the English name.
 NAMES = {
@@ -149,7 +152,7 @@ def languages_of(model: Model, text: str | None) -> list[tuple[str, float, int]]
     return [(LANGUAGES[int(p.argmax())], float(p.max()), 0)]
 
 
-def _count_model(sample: DataFrame, model: Model | None) -> Model:
+def _count_model(sample: DataFrame, model: Model | None, known: int) -> Model:
     """Words of the sample's sentences by language: the label's, or what ``model`` says of each sentence."""
     shared = None if model is None else sample.sparkSession.sparkContext.broadcast(model)
 
@@ -167,26 +170,27 @@ def _count_model(sample: DataFrame, model: Model | None) -> Model:
         yield pd.DataFrame(rows, columns=["label", "word", "n"]).astype({"label": "object", "word": "object", "n": "int64"})
 
     counted = sample.mapInPandas(count, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    for g in LANGUAGES:  # bounded: KNOWN words of each language
-        top = counted.where(F.col("label") == g).orderBy(F.desc("n"), "word").limit(KNOWN)
-        counts[g] = {r["word"]: r["n"] for r in top.collect()}
+    # bounded: `known` words of each language
+    rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "word"))
+    counts: dict[str, dict[str, int]] = {g: {} for g in LANGUAGES}
+    for label, word, n in counted.withColumn("rank", rank).where(F.col("rank") <= known).select("label", "word", "n").collect():
+        counts[label][word] = n
     return Model(counts)
 
 
-def fit(documents: DataFrame) -> Model:
-    """The model of a corpus, counted from about ``SAMPLE`` labelled documents of each language."""
+def fit(documents: DataFrame, scratch: Scratch, *, sample: int = SAMPLE, known: int = KNOWN) -> Model:
+    """The model of a corpus, counted from about ``sample`` labelled documents of each language, which are written once."""
     labelled = documents.where(F.length(F.trim("text")) > 0).select("doc_id", "text", named_language(F.col("lang")).alias("label")).where("label is not null")
     numbers = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("label") == g, min(1.0, SAMPLE / n)) for g, n in numbers.items()], F.lit(0.0)) if numbers else F.lit(0.0)
+    share = F.coalesce(*[F.when(F.col("label") == g, min(1.0, sample / n)) for g, n in numbers.items()], F.lit(0.0)) if numbers else F.lit(0.0)
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000
-    sample = labelled.where(chosen).select("text", "label")
-    return _count_model(sample, _count_model(sample, None))
+    drawn = scratch.keep(labelled.where(chosen).select("text", "label"), "sample")
+    return _count_model(drawn, _count_model(drawn, None, known), known)
 
 
-def identify(documents: DataFrame) -> DataFrame:
+def identify(documents: DataFrame, model: Model) -> DataFrame:
     """One row per document and language: doc_id, named (what its label names), language, confidence, sentences, languages."""
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,9 +204,9 @@ def identify(documents: DataFrame) -> DataFrame:
     return asked.mapInPandas(classify, "doc_id bigint, named string, language string, confidence double, sentences int, languages int")
 
 
-def segment_languages(documents: DataFrame) -> DataFrame:
+def segment_languages(documents: DataFrame, model: Model) -> DataFrame:
     """One row per sentence with words: doc_id, segment_no, segment_start, segment_end, language, confidence."""
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,12 +2,13 @@
 
 import datetime
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import glyphs, languages, leaks, origins, packing, queries, scans, splitting, survivors
+from tidewell.llm import glyphs, languages, leaks, origins, packing, queries, scans, splitting, survivors, truth
 from tidewell.shared import Scratch, empty
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,6 +61,49 @@ def test_survivor_takes_the_trusted_value(spark, scratch):
     assert len(best) == 1 and best[0]["row_key"] == 1 and float(best[0]["normalized_decimal"]) == 10.0 and best[0]["members"] == 3
 
 
+def test_survivors_take_the_best_of_each_field(spark, scratch):
+    rows = ledger(spark, [(1, "d1", "A B Dairy", 2016, "10.00", "layout", 0.95), (2, "d1", "A B Dairy", 2016, "70.00", "form_field", 0.99), (3, "d1", "A B Dairy", 2016, "10.00", "form_field", 0.6), (4, "d1", "A B Dairy", 2016, "10.00", "ocr_layout", 0.5)])
+    best = survivors.survivors(rows, scratch.keep(survivors.group_duplicates(rows, scratch), "g"), scratch).first()
+    assert float(best["normalized_decimal"]) == 10.0 and best["extractor_tier"] == "form_field" and best["confidence"] == 0.95 and best["row_key"] == 3
+
+
+def test_survivors_hold_the_true_amounts(spark, scratch):
+    """Sources that err at different rates: voting by their reliability finds nearly all planted amounts."""
+    rng, rows, key = random.Random(7), [], 0
+    for n in range(150):
+        true = f"{rng.randint(100, 9999)}.00"
+        for tier, good in (("form_field", 0.97), ("layout", 0.85), ("ocr_layout", 0.6)):
+            for _ in range(2):
+                key += 1
+                rows.append((key, f"d{n}", f"Maker{n:03d} Gold", 2016, true if rng.random() < good else f"{rng.randint(1, 99)}.00", tier, 0.5, "s", f"f{true}"))
+    made = ledger(spark, rows)
+    groups = scratch.keep(survivors.group_duplicates(made, scratch), "g")
+    got = survivors.survivors(made, groups, scratch).join(made.select("row_key", "field_code"), "row_key").collect()
+    share = sum(f"f{r['normalized_decimal']}" == r["field_code"] for r in got) / len(got)
+    assert len(got) == 150 and share > 0.97
+    links = survivors.classes(groups)
+    assert links.count() == 900 and {r["links"] for r in links.select("links").distinct().collect()} == {5}
+
+
+def test_names_meet_their_leaves_in_one_pass(spark):
+    """Against brute force; forty thousand names of one key take seconds, not the square of that."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices("ab", k=rng.randint(1, 7))) for _ in range(150)})
+    got = glyphs.to_leaf(spark.createDataFrame([("k", n) for n in names], "k string, n string"), ["k"], "n").collect()
+    for r in got:
+        ends = [x for x in names if x.startswith(r["n"]) and not any(y != x and y.startswith(x) for y in names)]
+        assert r["ambiguous"] == (len(ends) > 1) and (r["ambiguous"] or r["leaf"] == ends[0])
+    many = spark.range(40_000).select(F.lit("k").alias("k"), F.concat(F.lit("name"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("n"))
+    begun = time.time()
+    assert glyphs.to_leaf(many, ["k"], "n").where("leaf = n").count() == 40_000 and time.time() - begun < 20
+
+
+def test_rounds_say_whether_they_converged(spark, scratch):
+    claims = spark.createDataFrame([(f"o{k}", "a", "x" if s < 3 else "y", f"s{s}", "c", 1.0) for k in range(5) for s in range(4)], "object_id string, attribute string, value string, source_id string, source_class string, n double")
+    assert truth.discover(claims, scratch, "many").converged and not truth.discover(claims, scratch, "one", max_rounds=1).converged
+    assert truth.discover(claims.where("false"), scratch, "none").truths.count() == 0
+
+
 def test_odd_ledgers(spark, scratch):
     rows = ledger(spark, [(1, None, None, None, None, None, None, None, None), (2, "", "", None, None, "x", 2.0, "s", "f"), (3, "d", "Ä", 2016, "1.00", "layout", 0.5), (3, "d", "Ä", 2016, "1.00", "layout", 0.5)])
     groups = survivors.group_duplicates(rows, scratch)
@@ -90,8 +134,7 @@ def noisy(spark):
 def test_noise_kinds(spark, scratch):
     found = pairs(scans.noise(*noisy(spark), scratch))
     expected = {("page", 1, "hyphen"), ("page", 1, "header"), ("page", 1, "page_number"), ("page", 2, "header"), ("page", 2, "page_number"), ("page", 3, "character"), ("region", 1, "hyphen"), ("region", 1, "character")}
-    assert expected <= found
-    assert not {f for f in found if f[1] >= 10}
+    assert found == expected
 
 
 def test_repair(spark, scratch):
@@ -105,6 +148,43 @@ def test_no_scans(spark, scratch):
     assert scans.noise(*none, scratch).count() == 0 and scans.repaired(*none, scratch).count() == 0
 
 
+def test_pages_are_read_on(spark, scratch):
+    pages = [
+        (1, 1, 1, "Fine Running Title   7\nthe office counted the pages and it was bro-", "w"), (2, 1, 2, "Fine Running Title   8\nken over two pages by\nKing John-\nPaul\n\nA new\nparagraph ends.", "w"),
+        (3, 1, 3, "Fine Running Title   9\nAnother page begins a sentence of its own, as a well-", "w"), (4, 1, 4, "Fine Running Title   10\nknown rule has it", "w"),
+    ] + [(k, 100 + k, 1, "a well-known rule", "w") for k in range(10, 14)]
+    out = scans.repaired(spark.createDataFrame(pages, PAGES), empty(spark, REGIONS), empty(spark, IMAGES), scratch)
+    text = {(r["record_key"], r["paragraph"]): r["text"] for r in out.where("record_key < 10").collect()}
+    assert text == {
+        (1, 1): "the office counted the pages and it was broken over two pages by King John-Paul", (2, 1): "A new paragraph ends.",
+        (3, 1): "Another page begins a sentence of its own, as a well-known rule has it",
+    }
+
+
+def test_planted_noise_is_undone(spark, scratch):
+    """Clean texts, made noisy: nearly all of their words come back in order, and no running line is left."""
+    rng = random.Random(11)
+    lexicon = [f"{a}{b}{c}" for a in ("har", "mon", "vel", "tor", "bas") for b in ("bi", "ca", "du", "lo") for c in ("ner", "tal", "dom", "ring", "ment")]
+    pages, clean = [], {}
+    for file in range(60):
+        for page in (1, 2, 3):
+            words = rng.choices(lexicon, k=60)
+            key = file * 10 + page
+            clean[key] = words
+            lines = [words[k : k + 10] for k in range(0, 60, 10)]
+            lines[2][3] = lines[2][3].replace("o", "0", 1)
+            text = "\n".join(" ".join(x) for x in lines)
+            text = text.replace(f"{lines[3][-1]}\n", f"{lines[3][-1][:3]}-\n{lines[3][-1][3:]} ", 1)
+            pages.append((key, file, page, f"Report Of The Harbour Office {file}\n{text}.\n- {page} -", "w"))
+    out = scans.repaired(spark.createDataFrame(pages, PAGES), empty(spark, REGIONS), empty(spark, IMAGES), scratch).toPandas()
+    same = total = 0
+    for key, words in clean.items():
+        got = " ".join(out[out.record_key == key].sort_values("paragraph").text).lower().rstrip(".").split()
+        same += sum(a == b for a, b in zip(words, got)) if len(words) == len(got) else 0
+        total += len(words)
+    assert same / total > 0.98 and not out.text.str.contains("Harbour|- [123] -").any()
+
+
 # 3 -------------------------------------------------------------------------------------------------
 
 
@@ -216,8 +296,8 @@ def test_leaks(spark):
     broken = " ".join(words[:14]) + " " + FILLER + " ".join(words[14:])
     docs = [FILLER * 3, FILLER + PASSAGE.upper() + FILLER, FILLER + half + " " + FILLER, FILLER + short, FILLER + changed, broken, PASSAGE.replace(" ", "\n> ").replace("haunted", "haun-\nted"), None, "", PASSAGE * 2, FILLER * 4000 + PASSAGE]
     table = spark.createDataFrame([(k, t, "en", "x") for k, t in enumerate(docs)], DOCS)
-    items = spark.createDataFrame([(7, PASSAGE), (8, None), (9, ""), (10, "two words"), (7, PASSAGE)], "item_id bigint, passage string")
-    assert pairs(leaks.leaks(table, items).select("doc_id", "item_id")) == {(k, 7) for k in (1, 2, 4, 5, 6, 9, 10)}
+    items = spark.createDataFrame([(7, PASSAGE), (8, None), (9, ""), (10, "two words"), (11, "Missing report"), (7, PASSAGE)], "item_id bigint, passage string")
+    assert pairs(leaks.leaks(table, items).select("doc_id", "item_id")) == {(k, 7) for k in (1, 2, 4, 5, 6, 9, 10)} | {(k, 11) for k in (0, 1, 2, 3, 4, 5, 10)}
     assert leaks.leaks(table, items.where("false")).count() == 0 and leaks.leaks(table.where("false"), items).count() == 0
 
 
@@ -240,18 +320,24 @@ SENTENCES = {
 }
 
 
-def test_languages(spark):
+def test_languages(spark, scratch):
     docs = [(k * 10 + n, " ".join([s] * 3), lang, "x") for n, (lang, s) in enumerate(SENTENCES.items()) for k in range(10)]
     odd = [(900, SENTENCES["de"], "en_US", "x"), (901, SENTENCES["fr"], None, "x"), (902, SENTENCES["it"] + " " + SENTENCES["en"], "Italian", "x"), (903, SENTENCES["es"], "es-MX", "x"), (904, None, "en", "x"), (905, " 12 ", None, "x"), (906, SENTENCES["pt"], "unknown", "x"), (907, SENTENCES["en"] + "\n```\nfor x in y\n```", "ENG", "x")]
-    found = languages.mislabelled(languages.identify(spark.createDataFrame(docs + odd, DOCS)))
+    table = spark.createDataFrame(docs + odd, DOCS)
+    model = languages.fit(table, scratch)
+    found = languages.mislabelled(languages.identify(table, model))
     assert pairs(found) == {(900, "de"), (901, "fr"), (902, "it"), (902, "en"), (906, "pt")}
-    assert languages.identify(empty(spark, DOCS)).count() == 0
-    assert languages.segment_languages(spark.createDataFrame(docs + odd, DOCS)).where("doc_id = 902").select("language").distinct().count() == 2
+    assert languages.identify(empty(spark, DOCS), languages.fit(empty(spark, DOCS), scratch)).count() == 0
+    assert languages.segment_languages(table, model).where("doc_id = 902").select("language").distinct().count() == 2
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_accuracy(spark, scratch):
     rows = spark.read.parquet(f"{FOLDER}/../sf0.01/documents.parquet").where(languages.named_language(F.col("lang")).isNotNull())
-    told = languages.identify(rows).where("languages = 1 and sentences >= 3").toPandas()
+    # by text, so that no copy of a fitted text is scored
+    fitted = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    model = languages.fit(rows.where(fitted), scratch)
+    told = languages.identify(rows.where(~fitted), model).where("languages = 1 and sentences >= 3").toPandas()
+    assert len(told) > 100
     assert (told.named == told.language).mean() > 0.85  # labels themselves are wrong now and then
 
 

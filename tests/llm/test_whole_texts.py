@@ -17,7 +17,7 @@ def test_marks_after_a_long_head(spark):
 
 def test_compounds_keep_their_hyphen(spark):
     texts = ["a well-known man", "one well-known inn", "the well-known sea", "he is well-\nknown here", "a bro-\nken word"]
-    pages = spark.createDataFrame([(n, 1, n, t) for n, t in enumerate(texts)], "page_key bigint, file_key bigint, page_num int, text string")
+    pages = spark.createDataFrame([(n, n, 1, t) for n, t in enumerate(texts)], "page_key bigint, file_key bigint, page_num int, text string")
     out = scans.repaired(pages, empty(spark, "region_key bigint, text string"), empty(spark, "image_key bigint, visible_text string"), Scratch(spark, "test"))
     got = {r["record_key"]: r["text"] for r in out.collect()}
     assert got[3] == "he is well-known here" and got[4] == "a broken word"

@@ -24,6 +24,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("survivors").duplicate_pairs(_op("survivors").group_duplicates(ledger, Scratch(spark, "p1")))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("survivors").classes(_op("survivors").group_duplicates(table(spark, sf_dir, "ledger"), Scratch(spark, "p1")))
+
+
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, scratch = table(spark, sf_dir, "ledger"), Scratch(spark, "p1")
     groups = scratch.keep(_op("survivors").group_duplicates(ledger, scratch), "groups")
@@ -43,7 +47,7 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _op("origins").classify(table(spark, sf_dir, "files"), table(spark, sf_dir, "extracted_texts"), Scratch(spark, "p3"))
+    return _op("origins").classify(table(spark, sf_dir, "files"), table(spark, sf_dir, "extracted_texts"), Scratch(spark, "p3"), table(spark, sf_dir, "silos"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +88,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _op("languages").identify(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return _op("languages").identify(docs, _op("languages").fit(docs, Scratch(spark, "p8")))
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _op("languages").segment_languages(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return _op("languages").segment_languages(docs, _op("languages").fit(docs, Scratch(spark, "p8")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +103,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (
-        p1_found, p1_survivors, p2_found, p2_repaired, p3_found, p3_labels, p4_found, p4_pieces, p5_found,
+        p1_found, p1_classes, p1_survivors, p2_found, p2_repaired, p3_found, p3_labels, p4_found, p4_pieces, p5_found,
         p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_languages, p8_segments,
     )
     return {f.__name__: f for f in named}

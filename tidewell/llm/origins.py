@@ -248,7 +248,7 @@ def classify(files: DataFrame, texts: DataFrame, scratch: Scratch, silos: DataFr
     told = named.alias("f").join(final.alias("d"), "dir")
     told = told.select("f.file_key", *[F.col(f"f.{c}").alias(c) for c in cols], *[(F.col(f"d.{c}") - F.col(f"f.{m}")).alias(f"r{k}") for k, (c, m) in enumerate(zip(cols, sent))])
     told = _messages(told, [F.col(f"r{k}") for k in range(len(cols))], _down(FILE_GIVEN_DIR), [f"d{k}" for k in range(len(cols))])
-    score = told.select("file_key", *[(F.col(c) + F.col(f"d{k}")).alias(c) for k, c in enumerate(cols)])
+    score = scratch.keep(told.select("file_key", *[(F.col(c) + F.col(f"d{k}")).alias(c) for k, c in enumerate(cols)]), "scores")
     score = _messages(score, [F.col(c) for c in cols], [(1.0,) * len(cols)], ["_whole"])
     whole, top = F.col("_whole"), F.greatest(*cols)
     label = F.coalesce(*[F.when(F.col(c) == top, name) for c, name in zip(cols, LABELS)])

@@ -86,6 +86,12 @@ def test_line_chunks():
     assert 3 <= len(long) <= 5 and {n for _, n in long} == {1}
 
 
+def test_a_tail_that_reaches_the_first_line_makes_no_double_chunk():
+    text = "\n".join("x" * 90 for _ in range(60))
+    assert max(len(c) for c, _ in chunking.line_chunks(text, 200, 150)) <= 290
+    assert chunking.chunk_params(5000, 4000) == (4000, 2000) and chunking.chunk_params(10, -3) == (100, 0)
+
+
 def test_resolution(spark):
     rows = spark.createDataFrame([("a", 1.0, 0.8), ("b", 1.0, 0.8), ("b", 2.0, 0.9), ("c", 1.0, 0.2), ("d", None, 0.9)], "g string, v double, confidence double")
     got = {r["g"]: r["status"] for r in evidence.resolve(rows, ["g"], value="v").collect()}
@@ -112,7 +118,8 @@ def test_salted_join_loses_nothing(spark):
 def test_html_and_csv():
     page = "<head><title>x</title></head><body><nav>menu</nav><h1>One</h1><p>a &amp; b</p><script>bad()</script></body>"
     assert extract.html_text(page) == "§SECTION: One§\na & b"
-    assert extract.csv_rows("a,b\n1,2\n\n3,4,5\n") == ["CSV row 1: a=1 | b=2", "CSV row 2: c1=3 | c2=4 | c3=5"]
+    assert extract.csv_rows("a,b\n1,2\n\n3,4,5\n") == ["CSV row 1: a=1 | b=2", "CSV row 3: c1=3 | c2=4 | c3=5"]
+    assert extract.html_text("<nav><h1>Menu</h1></nav><p>x</p>") == "x"
 
 
 def test_archives_and_databases(tmp_path):

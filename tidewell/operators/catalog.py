@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.dates import month_inside
 from tidewell.functions.texts import base_name, extension
+from tidewell.operators.ranked import cut_off
 
 
 def modified(mtime: str = "mtime") -> Column:
@@ -52,7 +53,7 @@ def find_files(files: DataFrame, *, name: str | None = None, low: str | None = N
     else:
         rows = rows.withColumn("matched_by", F.lit(None).cast("string"))
     order = [F.col("name_date").desc_nulls_last(), F.col("path"), F.col("file_key")]
-    return rows.withColumn("truncated", F.count(F.lit(1)).over(W.partitionBy()) > limit).orderBy(*order).limit(limit)
+    return cut_off(rows, limit, *order)
 
 
 def change_set(listing: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ if TYPE_CHECKING:
 SIZE, OVERLAP = 1000, 150
 
 
+def chunk_params(size: int, overlap: int) -> tuple[int, int]:
+    """Size and overlap within their limits: 100 to 4,000 characters, and half of the size at most."""
+    size = min(4000, max(100, size))
+    return size, min(max(0, overlap), size // 2)
+
+
 def line_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str, int]]:
     """(chunk, first line) of a text: whole lines up to ``size``, the tail of each chunk repeated by the next.
 
@@ -49,7 +55,8 @@ def line_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tup
                 kept -= 1
                 tail += len(held[kept][0]) + 1
             held = held[kept:] if kept > 0 else held
-            length = sum(len(t) + 1 for t, _ in held) if kept > 0 else 0
+            # where the tail reaches the first line, the next line closes the next chunk
+            length = sum(len(t) + 1 for t, _ in held)
     if held:
         emit()
     return out

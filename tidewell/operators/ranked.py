@@ -92,27 +92,29 @@ def least_coverage(stream: DataFrame, key: str, k: int, groups: int) -> DataFram
     return with_pos(picked.drop("_key", "_rank", "_best", "_first", "_late"), "pos")
 
 
-def promote_diversity(stream: DataFrame, key: str, k: int, *, dominance: float = 0.7, margin: float = 0.08) -> DataFrame:
-    """Where one key holds at least ``dominance`` of the first ``k`` rows, the best row of every other key that comes
-    within ``margin`` of the best distance takes one of its places, from the tail upward; k below 4 changes nothing."""
-    if k < 4:
-        return top(stream, k, "pos")
+def promote_diversity(stream: DataFrame, key: str, k: int, *, dominance: float = 0.7, margin: float = 0.08, most: int = 2) -> DataFrame:
+    """Where one key holds at least ``dominance`` of the first ``k`` rows, rows beyond them take places of its last ones:
+    of each other key that comes within ``margin`` of the leading key's best distance the nearest, ``most`` in all, the
+    nearest first. A null or blank key is its own; fewer than four rows change nothing."""
     far = F.coalesce("dist", F.lit(FAR))
-    head = stream.where(F.col("pos") < k)
-    lead = head.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p")).orderBy(F.desc("n"), "p").limit(1).where(F.col("n") >= dominance * k).select(F.col(key).alias("_lead"))
-    lead = lead.withColumn("_one", F.lit(1))
-    best = stream.agg(F.min(far).alias("_best")).withColumn("_one", F.lit(1))
-    alone = stream.withColumn("_one", F.lit(1)).join(F.broadcast(lead), "_one").join(F.broadcast(best), "_one").drop("_one")  # both are one row
-    in_head = head.select(key).distinct()
-    others = alone.where((F.col(key) != F.col("_lead")) & (F.col("pos") >= k) & (far <= F.col("_best") + margin)).join(in_head, key, "left_anti")
-    others = others.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(far, "pos"))).where("_n = 1")
-    others = others.withColumn("_slot", F.row_number().over(W.orderBy(far, "pos"))).drop("_n", "_lead", "_best")
-    # the first row of the leading key always stays
-    spare = head.join(F.broadcast(lead), F.col(key) == F.col("_lead"), "left_semi")
-    spare = spare.withColumn("_slot", F.row_number().over(W.orderBy(F.desc("pos")))).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy())).where("_slot < _all").select("_slot", F.col("pos").alias("_place"))
+    own = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.concat(F.lit("__unknown_"), F.col("pos").cast("string")))
+    rows = stream.withColumns({"_own": own, "_far": far})
+    head = rows.where(F.col("pos") < k)
+    size = head.agg(F.count(F.lit(1)).alias("_size"))
+    lead = head.groupBy(F.col("_own").alias("_lead")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p")).orderBy(F.desc("n"), "p").limit(1)
+    best = rows.groupBy("_own").agg(F.min("_far").alias("_best"))
+    # one row where a key leads, none otherwise
+    told = lead.join(best, F.col("_lead") == F.col("_own")).withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one")
+    told = F.broadcast(told.where((F.col("_size") >= 4) & (F.col("n") >= dominance * F.col("_size"))).select("_one", "_lead", F.col("_best").alias("_top")).limit(1))
+    near = best.withColumn("_one", F.lit(1)).join(told, "_one").where((F.col("_own") != F.col("_lead")) & (F.col("_best") <= F.col("_top") + margin)).select("_own")
+    others = rows.where(F.col("pos") >= k).join(near, "_own", "left_semi")
+    others = others.withColumn("_n", F.row_number().over(W.partitionBy("_own").orderBy("_far", "pos"))).where("_n = 1").orderBy("_far", "_own", "pos").limit(most)
+    others = others.withColumn("_slot", F.row_number().over(W.orderBy("_far", "_own", "pos")))
+    spare = head.join(told, F.col("_own") == F.col("_lead"), "left_semi").orderBy(F.desc("pos")).limit(most)
+    spare = spare.select(F.row_number().over(W.orderBy(F.desc("pos"))).alias("_slot"), F.col("pos").alias("_place"))
     swapped = others.join(spare, "_slot")
     kept = head.join(swapped.select(F.col("_place").alias("pos")), "pos", "left_anti").withColumn("_place", F.col("pos"))
-    joined = kept.unionByName(swapped.select(*stream.columns, "_place"))
+    joined = kept.select(*stream.columns, "_place").unionByName(swapped.select(*stream.columns, "_place"))
     return with_pos(joined.drop("pos").withColumnRenamed("_place", "pos"), "pos")
 
 
@@ -122,10 +124,17 @@ def relevance_gate(stream: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def fallback_filter(stream: DataFrame, condition: Column) -> DataFrame:
-    """Rows that meet the condition or, where none does, all rows; one window, no branch on the driver."""
-    hit = F.coalesce(condition, F.lit(False)).cast("int")
-    some = F.max("_hit").over(W.partitionBy())
-    return stream.withColumn("_hit", hit).withColumn("_some", some).where("_hit = 1 or _some = 0").drop("_hit", "_some")
+    """Rows that meet the condition or, where none does, all rows; whether one does is a single row sent to all tasks."""
+    hits = stream.where(F.coalesce(condition, F.lit(False)))
+    some = F.broadcast(hits.limit(1).select(F.lit(1).alias("_one")))
+    return hits.unionByName(stream.withColumn("_one", F.lit(1)).join(some, "_one", "left_anti").drop("_one"))
+
+
+def cut_off(rows: DataFrame, limit: int, *order: Column | str, flag: str = "truncated") -> DataFrame:
+    """The first ``limit`` rows in the given order, with a flag that tells whether there were more: one row more is taken
+    to see it, so nothing is counted."""
+    some = rows.orderBy(*order).limit(limit + 1)
+    return some.withColumn(flag, F.count(F.lit(1)).over(W.partitionBy()) > limit).orderBy(*order).limit(limit)
 
 
 def any_term(text: str, terms: list[str]) -> Column:
@@ -145,8 +154,8 @@ def merge_queries(streams: list[DataFrame], k: int = 50, prefix: int = 200) -> D
     head = F.substring("text", 1, prefix)
     n = F.row_number().over(W.partitionBy(head).orderBy("question_no", "pos"))
     once = both.withColumn("_n", n).where("_n = 1").drop("_n")
-    once = once.withColumn("truncated", F.count(F.lit(1)).over(W.partitionBy()) > k)
-    return top(once, k, F.desc("score"), "question_no", "pos")
+    order = [F.desc("score"), "question_no", "pos"]
+    return with_pos(cut_off(once, k, *order), *order)
 
 
 def skip_greedy_budget(stream: DataFrame, size: Column, budget: int) -> DataFrame:

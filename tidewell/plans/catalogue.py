@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dates, texts
 from tidewell.operators import catalog
+from tidewell.operators.ranked import cut_off
 from tidewell.plans.registry import query
 from tidewell.session import table
 
@@ -55,7 +56,7 @@ def structure_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("structure_recent", f"WITH c AS (SELECT {CONTENT} AS content, min(path) AS path, max(mtime) AS latest FROM files GROUP BY 1) SELECT path, latest, count(*) OVER () > 40 AS cap_applied FROM c ORDER BY latest DESC NULLS LAST, path LIMIT 40")
 def structure_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = catalog.collapse_duplicates(_files(spark, sf_dir), _content())
-    return whole.withColumn("cap_applied", F.count(F.lit(1)).over(W.partitionBy()) > 40).orderBy(F.col("latest").desc_nulls_last(), "path").limit(40).select("path", "latest", "cap_applied")
+    return cut_off(whole, 40, F.col("latest").desc_nulls_last(), "path", flag="cap_applied").select("path", "latest", "cap_applied")
 
 
 @query("duplicate_hashes", f"SELECT {CONTENT} AS content, list_sort(list(DISTINCT silo)) AS silos, count(*) AS copies FROM files GROUP BY 1 HAVING count(DISTINCT silo) > 1")

@@ -102,8 +102,7 @@ def replace_ledger_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose expected value stands in some document, by category and in all.
 
-    Values are looked up as parts of the documents' number tokens by equi-join where they are whole tokens, and by the
-    stated set of 200 items otherwise, which every task holds (its size is fixed)."""
+    The items are a stated set of fixed size: every task holds their values and tests each text against all of them."""
     items = table(spark, sf_dir, "eval_items").select("item_id", "category", "expected_value")
     values = [r[0] for r in items.select("expected_value").where("expected_value is not null").distinct().collect()]  # a stated set of fixed size
     docs = table(spark, sf_dir, "documents").select("text")

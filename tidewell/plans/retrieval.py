@@ -108,7 +108,11 @@ def min_silo_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.least_coverage(_near(spark, sf_dir, 0, 60), "silo", 6, 3).select("id", "silo", "dist", "pos")
 
 
-@query("soft_promotion")
+@query("soft_promotion", f"""WITH {NEAR}, h AS (SELECT * FROM near WHERE pos < 8), l AS (SELECT silo AS lead FROM h GROUP BY silo HAVING count(*) >= 0.25 * 8 ORDER BY count(*) DESC, min(pos) LIMIT 1),
+  b AS (SELECT silo, min(dist) AS best FROM near GROUP BY silo), e AS (SELECT silo FROM b, l WHERE silo <> lead AND best <= (SELECT best FROM b, l WHERE silo = lead) + 0.3),
+  o AS (SELECT *, row_number() OVER (ORDER BY dist, CAST(silo AS VARCHAR), pos) AS slot FROM (SELECT * FROM near WHERE pos >= 8 AND silo IN (SELECT silo FROM e) QUALIFY row_number() OVER (PARTITION BY silo ORDER BY dist, pos) = 1) QUALIFY slot <= 2),
+  s AS (SELECT pos AS place, row_number() OVER (ORDER BY pos DESC) AS slot FROM h, l WHERE silo = lead), w AS (SELECT o.id, o.silo, o.dist, s.place FROM o JOIN s USING (slot)),
+  j AS (SELECT id, silo, dist, pos AS place FROM h WHERE pos NOT IN (SELECT place FROM w) UNION ALL SELECT * FROM w) SELECT id, silo, dist, CAST(row_number() OVER (ORDER BY place) - 1 AS BIGINT) AS pos FROM j""")
 def soft_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.promote_diversity(_near(spark, sf_dir, 0, 60), "silo", 8, dominance=0.25, margin=0.3).select("id", "silo", "dist", "pos")
 
@@ -163,14 +167,17 @@ def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("context_budget")
+@query("context_budget", f"""WITH RECURSIVE {NEAR}, t AS (SELECT n.id, d.source, row_number() OVER (ORDER BY n.pos) AS i, n.pos, least(length(d.text), 1000) + 8 AS size FROM near n JOIN documents d ON d.doc_id = n.id),
+  f AS (SELECT 0 AS i, 0::BIGINT AS used, -1::BIGINT AS id UNION ALL SELECT t.i, CASE WHEN used + size <= 6000 THEN used + size ELSE used END, CASE WHEN used + size <= 6000 THEN t.id ELSE -1 END FROM f JOIN t ON t.i = f.i + 1)
+  SELECT t.id, t.source, CAST(row_number() OVER (ORDER BY t.pos) - 1 AS BIGINT) AS pos FROM f JOIN t USING (i) WHERE f.id >= 0""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest texts that fit 6,000 characters, each counted with at most 1,000 and 8 for its frame."""
     told = _with_documents(spark, sf_dir, _near(spark, sf_dir, 0, 60))
     return ranked.skip_greedy_budget(told, F.least(F.length("text"), F.lit(1000)) + 8, 6000).select("id", "source", "pos")
 
 
-@query("multi_query_merge")
+@query("multi_query_merge", f"""WITH q AS (SELECT *, 0::BIGINT AS question_no, CAST(row_number() OVER (ORDER BY dist, id) - 1 AS BIGINT) AS p FROM ({_cos(0, 40)}) z0 UNION ALL SELECT *, 1::BIGINT AS question_no, CAST(row_number() OVER (ORDER BY dist, id) - 1 AS BIGINT) AS p FROM ({_cos(5, 40)}) z1 UNION ALL SELECT *, 2::BIGINT AS question_no, CAST(row_number() OVER (ORDER BY dist, id) - 1 AS BIGINT) AS p FROM ({_cos(9, 40)}) z2), d AS (SELECT q.id, d.source, round(1 - q.dist, 6) AS score, question_no, p, left(d.text, 200) AS h FROM q JOIN documents d ON d.doc_id = q.id QUALIFY row_number() OVER (PARTITION BY h ORDER BY question_no, p) = 1)
+  SELECT id, source, score, question_no, count(*) OVER () > 50 AS truncated, CAST(row_number() OVER (ORDER BY score DESC, question_no, p) - 1 AS BIGINT) AS pos FROM d QUALIFY pos < 50""")
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = [_with_documents(spark, sf_dir, _near(spark, sf_dir, v, 40)).withColumn("score", F.round(1 - F.col("dist"), 6)) for v in (0, 5, 9)]
     return ranked.merge_queries(streams, 50).select("id", "source", "score", "question_no", "truncated", "pos")

@@ -30,34 +30,38 @@ def _run(stream: DataFrame, label: str, mode: str, rest: Callable[[str], DataFra
 
 @query("stream_hourly_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(feeds.windowed_counts(feeds.event_stream(spark, sf_dir)), "hourly", "complete")
+    out = _run(feeds.windowed_counts(feeds.event_stream(spark, sf_dir)), "hourly", "whole")
     return out.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_sliding_counts", """SELECT s AS started, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1, 2""")
 def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(feeds.windowed_counts(feeds.event_stream(spark, sf_dir), "1 hour", "30 minutes"), "sliding", "complete")
+    out = _run(feeds.windowed_counts(feeds.event_stream(spark, sf_dir), "1 hour", "30 minutes"), "sliding", "whole")
     return out.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+  SELECT user_id, min(ts) AS started, count(*) AS actions FROM k GROUP BY user_id, n""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sessions, those that the end of the input leaves open too."""
-    return _run(feeds.session_counts(feeds.event_stream(spark, sf_dir), late=None), "sessions", "whole").select("user_id", "started", "actions")
+    return _run(feeds.session_counts(feeds.event_stream(spark, sf_dir), late=None), "sessions", "whole").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "actions")
 
 
-@query("stream_once")
+@query("stream_once", """WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
+  UNION ALL SELECT n.* FROM (SELECT e.event_id, e.user_id, e.event_type, e.ts FROM events e JOIN o ON e.user_id = o.user_id AND e.event_type = o.event_type AND e.ts >= o.ts + INTERVAL 1 HOUR QUALIFY row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.ts, e.event_id) = 1) n)
+  SELECT event_id, user_id, event_type FROM o""")
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event of a user and type within an hour, by the time of the events."""
     stream = feeds.once_within(feeds.event_stream(spark, sf_dir), ["user_id", "event_type"], 3600)
     return _run(stream, "once", "append", lambda folder: feeds.once_rest(spark, folder, stream, 3600)).select("event_id", "user_id", "event_type")
 
 
-@query("stream_debounced")
+@query("stream_debounced", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events),
+  k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_action, count(*) AS actions, date_trunc('milliseconds', max(ts)) AS last_ts FROM k GROUP BY user_id, burst""")
 def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last action of every burst, those that the end of the input leaves open too."""
     stream = feeds.debounced(feeds.event_stream(spark, sf_dir), "user_id", 1800)
-    return _run(stream, "debounced", "append", lambda folder: feeds.debounced_rest(spark, folder, "user_id"))
+    return _run(stream, "debounced", "append", lambda folder: feeds.debounced_rest(spark, folder, "user_id")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
 @query("stream_enriched", "SELECT e.event_id, n.n_name FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id % 25 WHERE e.event_type = 'purchase'")

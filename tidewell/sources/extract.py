@@ -40,6 +40,8 @@ class _Stripper(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skip += 1
+        elif self.skip:
+            return
         elif re.fullmatch("h[1-6]", tag):
             self.parts.append("\n§SECTION: ")
             self.title = True
@@ -72,13 +74,13 @@ def html_text(text: str) -> str:
 
 
 def csv_rows(text: str) -> list[str]:
-    """One line of text per row: 'CSV row n: name=value | …'; other widths than the header's use c1, c2, …; blank rows fall out."""
-    rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text)) if any(c.strip() for c in r)]
-    if not rows:
-        return []
-    head = rows[0]
-    out = []
+    """One line of text per row: 'CSV row n: name=value | …'; other widths than the header's use c1, c2, …; blank rows fall
+    out but are counted, so that n tells the row of the file."""
+    rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text))]
+    head, out = rows[0] if rows else [], []
     for n, row in enumerate(rows[1:], 1):
+        if not any(row):
+            continue
         names = head if len(row) == len(head) else [f"c{k}" for k in range(1, len(row) + 1)]
         out.append(f"CSV row {n}: " + " | ".join(f"{a}={b}" for a, b in zip(names, row)))
     return out
@@ -146,10 +148,28 @@ def sqlite(content: bytes) -> Pages:
             base.close()
 
 
+def bookmarks(content: bytes) -> Pages | None:
+    """The bookmarks of a browser's database, 'folder | title | url' by folder and date; None where it is no such database."""
+    with tempfile.NamedTemporaryFile(suffix=".db") as file:
+        file.write(content)
+        file.flush()
+        base = sqlite3.connect(f"file:{file.name}?mode=ro&immutable=1", uri=True)
+        try:
+            rows = base.execute(
+                "select coalesce(f.title, ''), coalesce(b.title, ''), p.url from moz_bookmarks b join moz_places p on p.id = b.fk "
+                "left join moz_bookmarks f on f.id = b.parent where b.type = 1 order by f.title, b.dateAdded, b.id"
+            ).fetchall()
+            return [(1, "\n".join(" | ".join(map(str, r)) for r in rows))]
+        except sqlite3.OperationalError:
+            return None
+        finally:
+            base.close()
+
+
 EXTRACTORS: dict[str, Callable[[bytes], Pages]] = {
     "html": lambda b: [(1, html_text(b.decode("utf-8", "replace")))], "htm": lambda b: [(1, html_text(b.decode("utf-8", "replace")))],
     "csv": lambda b: [(k, line) for k, line in enumerate(csv_rows(b.decode("utf-8", "replace")), 1)],
-    "docx": docx, "pptx": pptx, "xlsx": xlsx, "db": sqlite, "sqlite": sqlite,
+    "docx": docx, "pptx": pptx, "xlsx": xlsx, "db": lambda b: bookmarks(b) or sqlite(b), "sqlite": lambda b: bookmarks(b) or sqlite(b),
 }
 
 

@@ -77,3 +77,37 @@ def split_years(question: str) -> list[str]:
         return [question]
     bare = re.sub(r"\s*(?:,|and|or|vs\.?|versus|to|-|–)?\s*(?<!\d)(?:19|20)\d{2}(?!\d)", "", question).strip()
     return [f"{bare} {y}" for y in years]
+
+
+def since(text: str, now: dt.datetime) -> dt.datetime | None:
+    """The moment that '30m', '24h' or '7d' before ``now``, or an ISO date or time, names; without a zone it is UTC."""
+    raw = text.strip()
+    if m := re.fullmatch(r"(\d+(?:\.\d+)?)([mhd])", raw.lower()):
+        return now - dt.timedelta(**{{"m": "minutes", "h": "hours", "d": "days"}[m[2]]: float(m[1])})
+    try:
+        at = dt.datetime.fromisoformat(raw)
+    except ValueError:
+        return None
+    return at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)
+
+
+def day_range(text: str) -> tuple[dt.date, dt.date] | None:
+    """Two days written 'A:B' or 'A..B', or one day, in order; anything else is none."""
+    try:
+        days = [dt.date.fromisoformat(p.strip()) for p in re.split(r"\.\.|:", text)]
+    except ValueError:
+        return None
+    return (min(days), max(days)) if 1 <= len(days) <= 2 else None
+
+
+def range_label(low: dt.date | None, high: dt.date | None) -> str:
+    """A range in words: a day, a month, a year, or both ends."""
+    if low is None or high is None:
+        return "any time"
+    if low == high:
+        return low.isoformat()
+    if (low, high) == _month(low.year, low.month):
+        return f"{low:%Y-%m}"
+    if (low, high) == (dt.date(low.year, 1, 1), dt.date(low.year, 12, 31)):
+        return str(low.year)
+    return f"{low.isoformat()} to {high.isoformat()}"

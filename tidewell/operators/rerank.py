@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,3 +57,26 @@ def confidence(stream: DataFrame, question: str, head: int = 8) -> DataFrame:
     weak = (F.col("avg_dist") > 0.7) & ~((F.col("top_dist") <= 0.85) & (F.col("overlap") >= 0.18))
     level = F.when(F.col("avg_dist").isNull(), "none").when(weak, "weak").when(F.col("sources") == 1, "single_source").otherwise("sound")
     return agg.select(F.round("avg_dist", 6).alias("avg_dist"), "top_dist", "sources", F.round("overlap", 6).alias("overlap"), level.alias("level"))
+
+
+def by_source_priority(stream: DataFrame, k: int, canonical: list[str], late: list[str]) -> DataFrame:
+    """Sources that carry a canonical token first, those with a late one last (10 and -5 points), then by distance."""
+    any_of = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower("source"), w)) if words else F.lit(False)
+    score = F.when(any_of(canonical), 10).otherwise(0) - F.when(any_of(late), 5).otherwise(0)
+    return top(stream.withColumn("_late", -F.coalesce(score, F.lit(0))), k, "_late", F.coalesce("dist", F.lit(FAR)), "pos").drop("_late")
+
+
+def by_scorer(stream: DataFrame, question: str, k: int, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The first ``k`` rows by the score of a pair (question, text), highest first.
+
+    ``scorer`` makes a column of two columns, be it an expression or an Arrow batch function around a model; without one
+    the share of the question's words that the text has."""
+    asked = F.lit(question)
+    score = overlap(words(asked), words(F.col("text"))) if scorer is None else scorer(asked, F.col("text"))
+    return top(stream.withColumn("score", score), k, F.desc("score"), "pos")
+
+
+def breakdown(stream: DataFrame, most: int = 12) -> DataFrame:
+    """(part, name, rows, best): what a stream is made of, by silo and by source, the sources cut to the ``most`` largest."""
+    by = lambda part: stream.groupBy(F.coalesce(F.col(part).cast("string"), F.lit("?")).alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.min("dist").alias("best")).select(F.lit(part).alias("part"), "name", "rows", "best")
+    return by("silo").unionByName(by("source").orderBy(F.desc("rows"), "name").limit(most))

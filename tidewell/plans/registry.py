@@ -31,7 +31,7 @@ def sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from tidewell.plans import catalogue, ranking, relational, resolving, retrieval, streams, texts  # noqa: F401
+    from tidewell.plans import catalogue, ranking, relational, resolving, retrieval, streams, texts, answers, upkeep  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

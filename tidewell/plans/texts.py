@@ -60,12 +60,20 @@ def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select("item_id", F.slice(texts.words(F.col("query"), stop), 1, 8).alias("terms"))
 
 
-INTENT_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{k}'" for k, p in quality.INTENTS) + " ELSE 'lookup' END"
+_FITS = lambda p: f"regexp_matches(lower(trim(query)), '{p}')"
+INTENT_CASE = "CASE " + " ".join("WHEN " + " AND ".join([_FITS(p) for p in a] + ["NOT " + _FITS(p) for p in n]) + f" THEN '{k}'" for k, a, n in quality.RULES) + " ELSE 'LOOKUP' END"
 
 
-@query("question_intents", f"SELECT {INTENT_CASE} AS intent, count(*) AS questions FROM eval_items GROUP BY 1")
+@query("question_intents", f"SELECT item_id, {INTENT_CASE} AS intent FROM eval_items")
 def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "eval_items").groupBy(quality.intent(F.col("query")).alias("intent")).agg(F.count(F.lit(1)).alias("questions"))
+    return table(spark, sf_dir, "eval_items").select("item_id", quality.intent(F.col("query")).alias("intent"))
+
+
+@query("line_intents", "WITH q AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS query FROM documents) SELECT " + INTENT_CASE + " AS intent, count(*) AS lines FROM q GROUP BY 1")
+def line_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct line of the texts taken for a question: how many of each kind."""
+    lines = _docs(spark, sf_dir).where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("query")).distinct()
+    return lines.groupBy(quality.intent(F.col("query")).alias("intent")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("mentioned_years", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1))) > 0 AS dated FROM documents WHERE text IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,10 +44,19 @@ def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
 
 
 def append_audit(records: DataFrame, path: str, *, longest: int = 500) -> None:
-    """Append audit records as JSON lines: query texts cut to ``longest``, parameters without a value dropped."""
+    """Append audit records as JSON lines: query texts cut to ``longest``, parameters without a value dropped. Records with
+    a time ``ts`` go to a folder of their day, so that old days are dropped whole."""
     rows = records
     if "queries" in rows.columns:
         rows = rows.withColumn("queries", F.transform("queries", lambda q: F.substring(q, 1, longest)))
     if "params" in rows.columns:
         rows = rows.withColumn("params", F.map_filter("params", lambda k, v: v.isNotNull()))
-    rows.write.mode("append").json(path)
+    if "ts" in rows.columns:
+        rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
+    else:
+        rows.write.mode("append").json(path)
+
+
+def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of an audit log of any days, oldest first; lines that are no records are passed over."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path).orderBy("ts")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 if TYPE_CHECKING:
@@ -161,3 +163,22 @@ def drain(stream: DataFrame, name: str, mode: str = "append", *, checkpoint: str
 def apply_changes(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Feed each micro-batch of changes to ``write`` exactly once per epoch; ``write`` must be repeatable."""
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class Telemetry(StreamingQueryListener):
+    """Collects what streams report, for logs and tests: their start, rows of each batch, and how they ended."""
+
+    def __init__(self, most: int = 1000) -> None:
+        self.events: deque[dict[str, Any]] = deque(maxlen=most)
+
+    def onQueryStarted(self, event: Any) -> None:  # noqa: N802
+        self.events.append({"event": "started", "id": str(event.id)})
+
+    def onQueryProgress(self, event: Any) -> None:  # noqa: N802
+        self.events.append({"event": "batch", "id": str(event.progress.id), "batch": event.progress.batchId, "rows": event.progress.numInputRows})
+
+    def onQueryIdle(self, event: Any) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:  # noqa: N802
+        self.events.append({"event": "ended", "id": str(event.id), "error": event.exception})

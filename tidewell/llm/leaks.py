@@ -34,6 +34,8 @@ BLOCK = 1000
 LEAST = 6
 SIZES = (4, 6, 8, 10, 12, 16, 24, 32)
 RADIUS, BLOCKS = 7, 4
+#: Words of texts that are fingerprinted together, at least.
+TOGETHER = 100_000
 #: Share of the passage's words, and of their weight, that a document must hold.
 SHARE, WEIGHT = 0.5, 0.5
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
@@ -142,49 +144,69 @@ class ItemIndex:
                 line[1:] = np.maximum.accumulate(np.maximum(line[1:], line[:-1] + gain * run[i]))
         return float(count[-1]) / len(mine), min(1.0, float(heavy[-1]) / float(weight.sum()))
 
-    def search(self, text: str) -> list[tuple[int, float, float]]:
-        """(item_id, share, weight) of every item that the text holds enough of."""
-        found = tokens(text)
-        if not found:
-            return []
-        get, none = self.vocab.get, len(self.vocab)
-        ids = np.array([get(w, none) for w in found], dtype=np.int64)
-        known = np.concatenate([[0], np.cumsum(ids != none)])
-        out = []
-        for item in sorted({k for first in set(ids.tolist()) & self.short.keys() for k in self.short[first]}):
-            mine = self.ids[item]
-            at = np.flatnonzero(ids[: max(0, len(ids) - len(mine) + 1)] == mine[0])
-            if len(at) and (ids[at[:, None] + np.arange(len(mine))] == mine).all(axis=1).any():
-                out.append((self.keys[item], 1.0, 1.0))
-        hits: dict[int, list[int]] = {}
+    def _places(self, ids: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position) of all windows near one of an item, in texts set one after the other; ``doc`` numbers the texts."""
+        weights = self.weight[ids]
+        known = np.concatenate([[0], np.cumsum(ids != len(self.vocab))])
+        items, places = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for size in self.by_size:
             if len(ids) < size:
                 continue
             inside = known[size:] - known[:-size]
             # a stretch that holds half of an item holds a window at least as dense; none below that can begin a case
-            starts = np.flatnonzero(inside * 2 >= size)
-            for k in range(0, len(starts), 4096):
-                part = starts[k : k + 4096]
-                low, high = int(part[0]), int(part[-1]) + size
-                rows = self.row[ids[low:high]]
-                for j in np.flatnonzero(ids[low:high] == none):
-                    rows[j] = _row(found[low + j])
-                marks = self.fingerprints(rows, self.weight[ids[low:high]], part - low, size)
-                at, items = self.near(marks, size)
-                for pair in np.unique(np.stack([items, part[at]], axis=1), axis=0):
-                    hits.setdefault(int(pair[0]), []).append(int(pair[1]))
-        for item, places in hits.items():
+            starts = np.flatnonzero((inside * 2 >= size) & (doc[size - 1 :] == doc[: len(doc) - size + 1]))
+            for k in range(0, len(starts), 16384):
+                part = starts[k : k + 16384]
+                at, found = self.near(self.fingerprints(rows, weights, part, size), size)
+                items.append(found)
+                places.append(part[at])
+        return np.concatenate(items), np.concatenate(places)
+
+    def search(self, texts: list[str]) -> list[list[tuple[int, float, float]]]:
+        """For each text (item_id, share, weight) of every item that it holds enough of; texts are fingerprinted together."""
+        out: list[list[tuple[int, float, float]]] = []
+        group: list[list[str]] = []
+        for text in texts:
+            group.append(tokens(text))
+            if sum(map(len, group)) >= TOGETHER:
+                out += self._search(group)
+                group = []
+        return out + self._search(group)
+
+    def _search(self, group: list[list[str]]) -> list[list[tuple[int, float, float]]]:
+        get, none = self.vocab.get, len(self.vocab)
+        out: list[list[tuple[int, float, float]]] = [[] for _ in group]
+        begin = np.cumsum([0, *map(len, group)])
+        if not begin[-1]:
+            return out
+        ids = np.array([get(w, none) for found in group for w in found], dtype=np.int64)
+        foreign = {w: _row(w) for found in group for w in set(found)}
+        rows = np.array([foreign[w] for found in group for w in found], dtype=np.int64)
+        doc = np.repeat(np.arange(len(group)), np.diff(begin))
+        for first in set(ids.tolist()) & self.short.keys():
+            for item in self.short[first]:
+                mine = self.ids[item]
+                at = np.flatnonzero(ids[: max(0, len(ids) - len(mine) + 1)] == first)
+                at = at[doc[at] == doc[at + len(mine) - 1]]
+                at = at[(ids[at[:, None] + np.arange(len(mine))] == mine).all(axis=1)]
+                for d in np.unique(doc[at]):
+                    out[d].append((self.keys[item], 1.0, 1.0))
+        items, places = self._places(ids, rows, doc)
+        hits: dict[tuple[int, int], list[int]] = {}
+        for item, place in np.unique(np.stack([items, places], axis=1), axis=0).tolist():
+            hits.setdefault((int(doc[place]), item), []).append(place)
+        for (d, item), spots in hits.items():
             length = len(self.ids[item])
             best = (0.0, 0.0)
             done = -1
-            for place in places:  # in order; each stretch begins one passage before a hit not yet seen
+            for place in spots:  # in order; each stretch begins one passage before a hit not yet seen
                 if place <= done:
                     continue
-                low = max(0, place - length)
-                best = max(best, self.held(item, ids[low : place + 3 * length]))
+                low = max(int(begin[d]), place - length)
+                best = max(best, self.held(item, ids[low : min(int(begin[d + 1]), place + 3 * length)]))
                 done = place + length
             if best[0] >= SHARE and best[1] >= WEIGHT:
-                out.append((self.keys[item], *best))
+                out[d].append((self.keys[item], *best))
         return out
 
 
@@ -214,7 +236,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"]) for hit in index.value.search(t)]
+                rows = [(d, *hit) for d, hits in zip(batch["doc_id"], index.value.search(batch["text"].tolist())) for hit in hits]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "weight"])
 
         return texts.mapInPandas(find, "doc_id bigint, item_id bigint, share double, weight double")

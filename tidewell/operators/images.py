@@ -7,7 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def row_bands(regions: DataFrame, image: str, *, least: float = 0.012, share: float = 0.7) -> DataFrame:
+# How near observations must be, in parts of the image, to be one row and rows to be one block.
+BAND, BAND_SHARE = 0.012, 0.7
+GAP, GAP_SHARE, OVERLAP, SHIFT = 0.03, 1.6, 0.18, 0.08
+
+
+def row_bands(regions: DataFrame, image: str, *, least: float = BAND, share: float = BAND_SHARE) -> DataFrame:
     """(image, row, text, x0, y0, x1, y1): observations (x, y, w, h, text, key) gathered into rows from the top down.
 
     A row takes what lies within a band of its first observation, not of the previous one, so rows are folded in order
@@ -39,7 +44,7 @@ def blocks(rows: DataFrame, image: str) -> DataFrame:
     height = F.greatest(above["y1"] - above["y0"], F.col("y1") - F.col("y0"))
     overlap = F.least(above["x1"], F.col("x1")) - F.greatest(above["x0"], F.col("x0"))
     width = F.greatest(F.lit(0.0001), F.least(above["x1"] - above["x0"], F.col("x1") - F.col("x0")))
-    near = (above["y0"] - F.col("y1") <= F.greatest(F.lit(0.03), height * 1.6)) & ((overlap / width >= 0.18) | (F.abs(above["x0"] - F.col("x0")) <= 0.08))
+    near = (above["y0"] - F.col("y1") <= F.greatest(F.lit(GAP), height * GAP_SHARE)) & ((overlap / width >= OVERLAP) | (F.abs(above["x0"] - F.col("x0")) <= SHIFT))
     told = rows.withColumn("block", F.sum(F.when(near, 0).otherwise(1)).over(order))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda o: o["text"]), "\n")
     return told.groupBy(image, "block").agg(F.count(F.lit(1)).alias("rows"), lines.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

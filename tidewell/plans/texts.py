@@ -16,12 +16,37 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-@query("chunk_documents")
+#: The chunker as a recursion over the lines of each text: lines are held from ``b`` on, ``n`` long, until they reach the size.
+CHUNKS_SQL = """WITH RECURSIVE d AS (SELECT {key} AS k, string_split(text, chr(10)) AS ls FROM {table} WHERE regexp_matches(text, '\\S')),
+  e AS (SELECT k, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d), q AS (SELECT k, list(length(line) + 1 ORDER BY i) AS w, list(cum ORDER BY i) AS p FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY k ORDER BY i) AS cum FROM e) GROUP BY k),
+  r AS (SELECT k, 0::BIGINT AS j, 1::BIGINT AS b, 0::BIGINT AS n, 1::BIGINT AS eb, 0::BIGINT AS ee FROM q
+    UNION ALL SELECT k, j, CASE WHEN w > 1001 THEN j + 1 WHEN t >= 1000 THEN kept ELSE b END, CASE WHEN w > 1001 THEN 0 WHEN t >= 1000 THEN pj - coalesce(p[kept - 1], 0) ELSE t END,
+      b, CASE WHEN w > 1001 THEN j - 1 WHEN t >= 1000 THEN j ELSE 0 END FROM (
+      SELECT *, coalesce(list_max(list_filter(range(b, j + 1), lambda x: pj - coalesce(p[x - 1], 0) >= 150)), b) AS kept FROM (
+        SELECT r.k, r.j + 1 AS j, r.b, q.w[r.j + 1] AS w, r.n + q.w[r.j + 1] AS t, q.p, q.p[r.j + 1] AS pj FROM r JOIN q USING (k) WHERE r.j < len(q.w)))),
+  c AS (SELECT k, j, 0 AS o, eb AS line_start, array_to_string(ls[eb:ee], chr(10)) AS t FROM r JOIN d USING (k) WHERE ee >= eb
+    UNION ALL SELECT k, len(ls) + 1, 0, b, array_to_string(ls[b:], chr(10)) FROM r JOIN d USING (k) WHERE j = len(ls) AND b <= len(ls)
+    UNION ALL SELECT k, i, 1 + s, i, substr(line, s * 850 + 1, 1000) FROM e, range(0, 1 + CAST(ceil((length(line) - 1000) / 850.0) AS BIGINT)) z(s) WHERE length(line) > 1000),
+  m AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY j, o) - 1 AS chunk_no, line_start, substr(sha256(t), 1, 16) AS chunk_hash, length(t) AS chars FROM c)"""
+INNER = "substr(sha256('doc/' || k || '|0.0|' || chunk_no), 1, 20)"
+
+
+@query("chunk_documents", CHUNKS_SQL.format(key="doc_id", table="documents") + f"""
+  SELECT substr(sha256(concat_ws('|', source, {INNER})), 1, 20) AS id, source AS silo, 'doc/' || k AS source, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(line_start AS INTEGER) AS line_start, chunk_hash, CAST(chars AS INTEGER) AS chars FROM m JOIN documents ON doc_id = k""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select(F.col("source").alias("silo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source"), F.lit(0.0).alias("mtime"), "text")
     return chunking.chunk(rows).select("id", "silo", "source", "chunk_no", "line_start", "chunk_hash", F.length("text").alias("chars"))
 
 
+@query("chunk_pages", CHUNKS_SQL.format(key="page_key", table="extracted_pages") + " SELECT k AS page_key, page_num, CAST(page_num * 1000 + chunk_no AS INTEGER) AS place, CAST(line_start AS INTEGER) AS line_start, chunk_hash FROM m JOIN extracted_pages ON page_key = k")
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of pages, numbered through their file: a thousand places a page."""
+    pages = table(spark, sf_dir, "extracted_pages")
+    made = chunking.chunk(pages.select(F.lit("").alias("silo"), F.col("page_key").cast("string").alias("source"), F.lit(0.0).alias("mtime"), "text"))
+    told = made.select(F.col("source").cast("bigint").alias("page_key"), "chunk_no", "line_start", "chunk_hash").join(pages.select("page_key", "page_num"), "page_key")
+    return told.select("page_key", "page_num", (F.col("page_num") * 1000 + F.col("chunk_no")).cast("int").alias("place"), "line_start", "chunk_hash")
+
+
 @query("document_lines", "SELECT doc_id, CAST(i AS BIGINT) AS line_no, string_split(text, chr(10))[i] AS line FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i)")
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))

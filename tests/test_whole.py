@@ -33,7 +33,7 @@ def test_footer_has_every_source(spark):
     for r in chunks(spark):
         first, best, pages = expected.get(r["source"], (r["pos"], r["dist"], set()))
         expected[r["source"]] = (first, min(best, r["dist"]), pages | ({r["page"]} - {None}))
-    got = {r["source"]: (r["first_pos"], r["best"], set(r["pages"])) for r in ask(spark, "source_footer_whole")}
+    got = {r["source"]: (r["first_pos"], r["best"], set(r["pages"])) for r in ask(spark, "source_footer")}
     assert len(got) > 71 and got == expected
 
 
@@ -41,7 +41,7 @@ def test_silos_by_best_has_every_chunk(spark):
     rows = chunks(spark)
     best = {s: min(r["dist"] for r in rows if r["silo"] == s) for s in {r["silo"] for r in rows}}
     expected = [r["id"] for r in sorted(rows, key=lambda r: (best[r["silo"]], r["silo"], r["pos"]))]
-    assert len(expected) > 400 and [r["id"] for r in sorted(ask(spark, "silos_by_best_whole"), key=lambda r: r["pos"])] == expected
+    assert len(expected) > 400 and [r["id"] for r in sorted(ask(spark, "silos_by_best"), key=lambda r: r["pos"])] == expected
 
 
 @pytest.mark.parametrize("name", ["sources_by_extension_hint", "year_first"])
@@ -54,7 +54,7 @@ def test_top_is_of_every_chunk(spark, name):
         best = {s: min(r["dist"] for r in rows if r["source"] == s) for s in {r["source"] for r in rows}}
         hint = lambda s: 0 if s.lower().endswith(".pdf") else 1 if s.lower().endswith(".py") else 2
         key, k = lambda r: (hint(r["source"]), best[r["source"]], r["source"], r["dist"], r["pos"]), 60
-    got = sorted(ask(spark, f"{name}_whole"), key=lambda r: r["pos"])
+    got = sorted(ask(spark, f"{name}"), key=lambda r: r["pos"])
     assert [r["id"] for r in got] == [r["id"] for r in sorted(rows, key=key)[:k]]
 
 
@@ -71,4 +71,4 @@ def test_near_named_sources_reads_every_chunk(spark):
     asked = {"lease", "survey", "the", "signed"}
     named = {s for s in best if best[s] <= 0.5 and asked & set(re.findall(r"[a-z0-9]{3,}", re.sub(r"[^A-Za-z0-9]+", " ", s).lower()))}
     kept = named or set(sorted(best, key=lambda s: (best[s], s))[:2])
-    assert {(r["id"], r["source"]) for r in ask(spark, "near_named_sources_whole")} == {(r["id"], r["source"]) for r in rows if r["source"] in kept}
+    assert {(r["id"], r["source"]) for r in ask(spark, "near_named_sources")} == {(r["id"], r["source"]) for r in rows if r["source"] in kept}

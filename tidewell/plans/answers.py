@@ -217,12 +217,12 @@ def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERM, CREDITS = r"\b((?:Spring|Summer|Fall|Autumn|Winter) \d{4})\b", r"(\d\.\d{2})$"
 
 
-@query("carried_terms", rf"""WITH l AS (SELECT doc_id, i, trim(string_split(text, chr(10))[i]) AS line FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i) WHERE doc_kind = 'course'),
+@query("carried_terms", rf"""WITH l AS (SELECT doc_id, i, trim(string_split(text, chr(10))[i]) AS line FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i)),
   m AS (SELECT *, nullif(regexp_extract(line, '{TERM}', 1), '') AS t, nullif(regexp_extract(line, '{CREDITS}', 1), '') AS c FROM l)
   SELECT doc_id, CAST(i AS BIGINT) AS line_no, last_value(t IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS term, first_value(c IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS next_credits FROM m""")
 def carried_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each line of a transcript the last term named, and the first credits within the next four lines."""
-    lines = _docs(spark, sf_dir).where("doc_kind = 'course'").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    """For each line of a text, as of a transcript, the last term named, and the first credits within the next four lines."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     told = lines.select("doc_id", (F.col("at") + 1).cast("bigint").alias("line_no"), F.nullif(F.regexp_extract(F.btrim(F.col("line"), F.lit(" ")), TERM, 1), F.lit("")).alias("t"), F.nullif(F.regexp_extract(F.btrim(F.col("line"), F.lit(" ")), CREDITS, 1), F.lit("")).alias("c"))
     order = W.partitionBy("doc_id").orderBy("line_no")
     return told.select("doc_id", "line_no", F.last("t", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("term"), F.first("c", ignorenulls=True).over(order.rowsBetween(1, 4)).alias("next_credits"))
@@ -280,3 +280,33 @@ def chunks_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("byte_labels", "SELECT file_key, CASE WHEN size >= 1073741824 THEN format('{:,.1f} GiB', size / 1073741824.0) WHEN size >= 1048576 THEN format('{:,.1f} MiB', size / 1048576.0) WHEN size >= 1024 THEN format('{:,.1f} KiB', size / 1024.0) ELSE size || ' B' END AS label FROM files WHERE size IS NOT NULL")
 def byte_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").where("size is not null").select("file_key", questions.bytes_label(F.col("size")).alias("label"))
+
+
+@query("image_summaries", "SELECT i.image_key, coalesce(nullif(trim(i.summary), ''), nullif(trim(i.visible_text), ''), r.t, '(no text)') AS summary FROM extracted_images i LEFT JOIN (SELECT image_key, string_agg(trim(text), chr(10) ORDER BY region_index, region_key) AS t FROM image_regions WHERE trim(text) <> '' GROUP BY image_key) r USING (image_key)")
+def image_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for an image: its summary, else its visible text, else the texts of its regions in order."""
+    part = F.array_sort(F.collect_list(F.struct(F.coalesce("region_index", F.lit(2**31 - 1)).alias("at"), "region_key", F.btrim(F.col("text"), F.lit(" ")).alias("t"))))
+    regions = table(spark, sf_dir, "image_regions").where(F.btrim(F.col("text"), F.lit(" ")) != "").groupBy("image_key").agg(F.array_join(F.transform(part, lambda x: x["t"]), "\n").alias("regions"))
+    there = lambda c: F.nullif(F.btrim(F.col(c), F.lit(" ")), F.lit(""))
+    return table(spark, sf_dir, "extracted_images").join(regions, "image_key", "left").select("image_key", F.coalesce(there("summary"), there("visible_text"), "regions", F.lit("(no text)")).alias("summary"))
+
+
+THEMES = {"storage": ("load", "store", "cache", "index"), "parsing": ("parse", "token", "scan", "read"), "tests": ("test", "assert", "mock"), "network": ("socket", "request", "http", "packet")}
+
+
+@query("activity_themes", "SELECT silo, " + ", ".join("bool_or(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f") AS {t}" for t, ws in THEMES.items()) + ", count(*) AS texts FROM extracted_texts WHERE text IS NOT NULL GROUP BY silo")
+def activity_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which themes the texts of a silo touch: any word of a theme in any text."""
+    rows = table(spark, sf_dir, "extracted_texts").where("text is not null")
+    touched = {t: F.bool_or(ranked.any_term("low", list(ws))) for t, ws in THEMES.items()}
+    return rows.withColumn("low", F.lower("text")).groupBy("silo").agg(*[c.alias(t) for t, c in touched.items()], F.count(F.lit(1)).alias("texts"))
+
+
+@query("table_markdown", r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^CSV row (\d+): .*$', 1)) AS n, unnest(regexp_extract_all(text, '(?m)^CSV row \d+: (.*)$', 1)) AS body FROM documents)
+  SELECT doc_id, CAST(n AS INTEGER) AS row_no, '| ' || array_to_string(list_transform(string_split(body, ' | '), lambda c: trim(regexp_replace(c, '^[^=]*=', ''))), ' | ') || ' |' AS line FROM r GROUP BY ALL""".replace("\\\\", "\\"))
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables read out as 'name=value | …' as rows of a Markdown table, each of a text once."""
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(r"(?m)^CSV row (\d+): .*$"), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(r"(?m)^CSV row \d+: (.*)$"), F.lit(1)).alias("body"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(found).alias("r"))
+    cells = F.transform(F.split("r.body", r" \| ", -1), lambda c: F.btrim(F.regexp_replace(c, "^[^=]*=", ""), F.lit(" ")))
+    return rows.select("doc_id", F.col("r.n").cast("int").alias("row_no"), F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("line")).distinct()

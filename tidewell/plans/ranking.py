@@ -7,13 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.operators import courses, ranked, rerank
-from tidewell.plans.registry import query, sql_of
+from tidewell.plans.registry import query
 from tidewell.session import table
 from tidewell.shared import Scratch
 
 STREAM = """st AS (SELECT c.id, c.source, c.silo, c.page, round((c.line_start % 97) / 97.0::DOUBLE, 6) AS dist, CAST(row_number() OVER (ORDER BY c.file_key, c.chunk_no, c.id) - 1 AS BIGINT) AS pos
-  FROM (SELECT DISTINCT * FROM chunks WHERE batch) c QUALIFY pos < 400)""".replace("SELECT DISTINCT * FROM chunks WHERE batch", "SELECT DISTINCT id, file_key, chunk_no, source, silo, page, line_start FROM chunks")
-WHOLE = STREAM.replace(" QUALIFY pos < 400", "")
+  FROM (SELECT DISTINCT * FROM chunks WHERE batch) c)""".replace("SELECT DISTINCT * FROM chunks WHERE batch", "SELECT DISTINCT id, file_key, chunk_no, source, silo, page, line_start FROM chunks")
 EXT = r"lower(regexp_extract(source, '[^/]\.([^./]+)$', 1))"
 
 
@@ -25,14 +24,6 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", "file_key", "chunk_no", "source", "silo", "page", "line_start").distinct()
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 chunks by file_key, as the SQL of these queries has it, as a ranked stream with a stand-in distance; the
-    ``_whole`` queries below rank all chunks."""
-    head = _chunks(spark, sf_dir).orderBy("file_key", "chunk_no", "id").limit(400)
-    pos = F.row_number().over(W.orderBy("file_key", "chunk_no", "id")).cast("bigint") - 1
-    return head.select("id", "source", "silo", "page", _dist(), pos.alias("pos"))
-
-
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All distinct chunks as a ranked stream; ``pos`` is the key they are ordered by, as no number is needed to order."""
     return _chunks(spark, sf_dir).select("id", "source", "silo", "page", _dist(), F.struct("file_key", "chunk_no", "id").alias("pos"))
@@ -42,62 +33,32 @@ def _numbered(stream: DataFrame, label: str, *order: str) -> DataFrame:
     return ranked.numbered(stream.withColumnRenamed("pos", "at"), Scratch(stream.sparkSession, label), *order)
 
 
-def _whole_sql(name: str) -> str:
-    return sql_of(name).replace(STREAM, WHOLE)
-
-
 @query("sources_by_extension_hint", f"""WITH {STREAM}, h AS (SELECT *, CASE {EXT} WHEN 'pdf' THEN 0 WHEN 'py' THEN 1 ELSE 2 END AS hint, min(coalesce(dist, 999)) OVER (PARTITION BY source) AS best FROM st)
   SELECT id, CAST(row_number() OVER (ORDER BY hint, best, source, dist, pos) - 1 AS BIGINT) AS pos FROM h QUALIFY row_number() OVER (ORDER BY hint, best, source, dist, pos) <= 60""")
 def sources_by_extension_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.by_extension_hint(_stream(spark, sf_dir), ["pdf", "py"], 60).select("id", "pos")
+    return rerank.by_extension_hint(_whole(spark, sf_dir), ["pdf", "py"], 60).select("id", "pos")
 
 
 @query("year_first", f"""WITH {STREAM} SELECT id, CAST(row_number() OVER (ORDER BY NOT regexp_matches(source, '(^|[^0-9])2014([^0-9]|$)'), contains(lower(source), 'readme'), coalesce(dist, 0), pos) - 1 AS BIGINT) AS pos FROM st
   QUALIFY row_number() OVER (ORDER BY NOT regexp_matches(source, '(^|[^0-9])2014([^0-9]|$)'), contains(lower(source), 'readme'), coalesce(dist, 0), pos) <= 50""")
 def year_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.heuristic(_stream(spark, sf_dir).withColumn("text", F.lpad(F.lit(""), 100, "x")), 50, year=2014).select("id", "pos")
+    return rerank.heuristic(_whole(spark, sf_dir).withColumn("text", F.lpad(F.lit(""), 100, "x")), 50, year=2014).select("id", "pos")
 
 
 @query("near_named_sources", f"""WITH {STREAM}, b AS (SELECT source, min(dist) AS best FROM st GROUP BY source),
   n AS (SELECT *, best <= 0.5 AND len(list_intersect(['lease', 'survey', 'the', 'signed'], regexp_extract_all(lower(regexp_replace(source, '[^A-Za-z0-9]+', ' ', 'g')), '([a-z0-9]{{3,}})', 1))) > 0 AS named FROM b),
   k AS (SELECT *, bool_or(named) OVER () AS anynamed, row_number() OVER (ORDER BY best, source) AS rk FROM n) SELECT id, source FROM st WHERE source IN (SELECT source FROM k WHERE (anynamed AND named) OR (NOT anynamed AND rk <= 2))""")
 def near_named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.near_and_named(_stream(spark, sf_dir), "the signed lease survey", 0.5).select("id", "source")
+    return rerank.near_and_named(_whole(spark, sf_dir), "the signed lease survey", 0.5).select("id", "source")
 
 
 @query("source_footer", f"WITH {STREAM} SELECT source, min(pos) AS first_pos, min(dist) AS best, coalesce(list_sort(list(DISTINCT page) FILTER (page IS NOT NULL)), []) AS pages FROM st GROUP BY source")
 def source_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.source_footer(_stream(spark, sf_dir))
+    return rerank.source_footer(_numbered(_whole(spark, sf_dir), "footer", "at"))
 
 
 @query("silos_by_best", f"WITH {STREAM} SELECT id, silo, CAST(row_number() OVER (ORDER BY best, silo, pos) - 1 AS BIGINT) AS pos FROM (SELECT *, min(dist) OVER (PARTITION BY silo) AS best FROM st)")
 def silos_by_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = _stream(spark, sf_dir).withColumn("best", F.min("dist").over(W.partitionBy("silo")))
-    return told.select("id", "silo", (F.row_number().over(W.orderBy("best", "silo", "pos")).cast("bigint") - 1).alias("pos"))
-
-
-@query("sources_by_extension_hint_whole", _whole_sql("sources_by_extension_hint"))
-def sources_by_extension_hint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.by_extension_hint(_whole(spark, sf_dir), ["pdf", "py"], 60).select("id", "pos")
-
-
-@query("year_first_whole", _whole_sql("year_first"))
-def year_first_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.heuristic(_whole(spark, sf_dir).withColumn("text", F.lpad(F.lit(""), 100, "x")), 50, year=2014).select("id", "pos")
-
-
-@query("near_named_sources_whole", _whole_sql("near_named_sources"))
-def near_named_sources_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.near_and_named(_whole(spark, sf_dir), "the signed lease survey", 0.5).select("id", "source")
-
-
-@query("source_footer_whole", _whole_sql("source_footer"))
-def source_footer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.source_footer(_numbered(_whole(spark, sf_dir), "footer", "at"))
-
-
-@query("silos_by_best_whole", _whole_sql("silos_by_best"))
-def silos_by_best_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _whole(spark, sf_dir)
     best = rows.groupBy(F.col("silo").alias("of")).agg(F.min("dist").alias("best"))
     told = rows.join(best, F.col("silo").eqNullSafe(F.col("of"))).drop("of")

@@ -25,11 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def sql_of(name: str) -> str:
-    """The SQL of a query that is registered already."""
-    return _SQL[name]
-
-
 def _load() -> None:
     from tidewell.plans import catalogue, ranking, relational, resolving, retrieval, streams, texts, answers, upkeep  # noqa: F401
 

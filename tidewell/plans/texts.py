@@ -53,10 +53,10 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 
 
-@query("section_of_lines", r"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i) WHERE doc_kind IN ('readme', 'course'))
+@query("section_of_lines", r"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i))
   SELECT doc_id, CAST(i AS BIGINT) AS line_no, last_value(CASE WHEN starts_with(line, '# ') THEN substr(line, 3) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM l""")
 def section_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _docs(spark, sf_dir).where(F.col("doc_kind").isin("readme", "course")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     title = F.when(F.startswith("line", F.lit("# ")), F.substring(F.col("line"), F.lit(3), F.length("line")))
     return lines.select("doc_id", (F.col("at") + 1).cast("bigint").alias("line_no"), F.last(title, ignorenulls=True).over(W.partitionBy("doc_id").orderBy("at")).alias("section"))
 

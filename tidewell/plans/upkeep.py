@@ -246,11 +246,10 @@ def customers_without_late_orders(spark: SparkSession, sf_dir: str) -> DataFrame
     return table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("section_filter", "WITH h AS (SELECT doc_id FROM documents WHERE contains(lower(text), '# installation')) SELECT doc_id FROM documents WHERE doc_kind = 'readme' AND ((SELECT count(*) FROM h JOIN documents d USING (doc_id) WHERE d.doc_kind = 'readme') = 0 OR doc_id IN (SELECT doc_id FROM h))")
+@query("section_filter", "WITH h AS (SELECT doc_id FROM documents WHERE contains(lower(text), '# final minutes')) SELECT doc_id FROM documents WHERE (SELECT count(*) FROM h) = 0 OR doc_id IN (SELECT doc_id FROM h)")
 def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readmes that have the section asked for or, where none has it, all readmes."""
-    docs = table(spark, sf_dir, "documents").where("doc_kind = 'readme'")
-    return fallback_filter(docs, F.contains(F.lower("text"), F.lit("# installation"))).select("doc_id")
+    """Texts that have the section asked for or, where none has it, all texts."""
+    return fallback_filter(table(spark, sf_dir, "documents"), F.contains(F.lower("text"), F.lit("# final minutes"))).select("doc_id")
 
 
 @query("conflict_candidates", """WITH v AS (SELECT silo, tax_year, field_code, normalized_decimal, min(row_key) AS k FROM ledger WHERE normalized_decimal IS NOT NULL GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY silo, tax_year, field_code ORDER BY k) AS n, count(*) OVER (PARTITION BY silo, tax_year, field_code) AS total FROM v)
@@ -278,3 +277,24 @@ def money_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("slug_names", r"SELECT slug, regexp_replace(slug, '-[0-9a-f]{8}$', '') AS name FROM silos")
 def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silos(spark, sf_dir).select("slug", F.regexp_replace("slug", r"-[0-9a-f]{8}$", "").alias("name"))
+
+
+@query("vision_allowed", "SELECT f.file_key FROM files f JOIN silos s ON s.slug = f.silo WHERE s.image_vision_enabled AND " + EXT.replace("path", "f.path") + " IN ('png', 'jpg', 'jpeg', 'gif', 'tif', 'tiff', 'webp', 'bmp', 'pdf')")
+def vision_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and scans whose silo lets a vision model see them."""
+    open_ = _silos(spark, sf_dir).where("image_vision_enabled").select(F.col("slug").alias("silo"))
+    seen = _files(spark, sf_dir).where(texts.extension("path").isin("png", "jpg", "jpeg", "gif", "tif", "tiff", "webp", "bmp", "pdf"))
+    return seen.join(open_, "silo", "left_semi").select("file_key")
+
+
+@query("catalog_freshness", f"""WITH f AS (SELECT silo, count(*) AS n, count(*) FILTER (coalesce(hash, '') = '') AS unread, max({AT}) AS newest FROM files GROUP BY silo)
+  SELECT slug, CASE WHEN f.n IS NULL THEN 'no_files' WHEN files_indexed IS NULL THEN 'never_counted' WHEN files_indexed <> f.n THEN 'count_differs' WHEN newest > updated THEN 'newer_files' WHEN unread > 0 THEN 'unread_files' ELSE 'fresh' END AS reason FROM silos LEFT JOIN f ON f.silo = slug""")
+def catalog_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a silo's catalogue is fresh; of several reasons against it the first counts."""
+    held = _files(spark, sf_dir).groupBy(F.col("silo").alias("slug")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("hash", F.lit("")) == "").alias("unread"), F.max(catalog.modified()).alias("newest"))
+    both = _silos(spark, sf_dir).join(held, "slug", "left")
+    reason = (
+        F.when(F.col("n").isNull(), "no_files").when(F.col("files_indexed").isNull(), "never_counted").when(F.col("files_indexed") != F.col("n"), "count_differs")
+        .when(F.col("newest") > F.col("updated").cast("timestamp"), "newer_files").when(F.col("unread") > 0, "unread_files").otherwise("fresh")
+    )
+    return both.select("slug", reason.alias("reason"))

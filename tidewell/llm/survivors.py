@@ -137,13 +137,16 @@ def survivors(ledger: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFra
     """
     names = ["entity_name", "tax_year", "form_type", "normalized_decimal"]
     used = ledger.select("row_key", *names, "source", "extractor_tier", "confidence", "created_at").dropDuplicates(["row_key"])
-    used = scratch.keep(used.join(groups, "row_key"), "members")
+    # short names for the rounds: half of the group's hash, and a hash of tier and path for the source
+    source = F.xxhash64(F.coalesce("extractor_tier", F.lit("unknown")), F.coalesce("source", F.lit("")))
+    used = used.join(groups, "row_key").withColumns({"object_id": F.unhex(F.substring("group_id", 1, 32)), "source_id": source})
+    used = scratch.keep(used, "members")
     text = {n: F.col(n).cast("string") for n in names}
     text["entity_name"] = F.regexp_replace(F.trim("entity_name"), r"\s+", " ")
     claims = used.select(
-        F.col("group_id").alias("object_id"),
+        "object_id",
         F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(text[n], F.lit("")))])).alias("attribute", "value"),
-        F.concat_ws("\x1f", F.coalesce("extractor_tier", F.lit("unknown")), F.coalesce("source", F.lit(""))).alias("source_id"),
+        "source_id",
         F.coalesce("extractor_tier", F.lit("unknown")).alias("source_class"),
         (F.coalesce("confidence", F.lit(0.3)) + 0.05).alias("n"),
     ).where("value <> ''")
@@ -162,9 +165,8 @@ def survivors(ledger: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFra
         F.col("created_at").alias("recent"), (-F.col("row_key")).alias("key"),
     )
     best = (
-        used.withColumn("source_id", F.concat_ws("\x1f", F.coalesce("extractor_tier", F.lit("unknown")), F.coalesce("source", F.lit(""))))
-        .join(found.weights, "source_id", "left")
-        .join(wide.withColumnRenamed("object_id", "group_id"), "group_id", "left")
+        used.join(found.weights, "source_id", "left")
+        .join(wide, "object_id", "left")
         .groupBy("group_id")
         .agg(
             F.count(F.lit(1)).alias("members"),

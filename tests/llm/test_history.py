@@ -151,3 +151,14 @@ def test_a_filter_holds_all_it_was_given(spark):
         return told.where(" and ".join(f"(w{k} & m{k}) = m{k}" for k in range(4))).count()
 
     assert hits(held) == 5000 and hits(other) < 100
+
+
+def test_contents_are_stored_and_compared_as_one_row_each(spark, scratch, tmp_path):
+    chunks = [(k, f"{c}-{'abc'[k % 3]}", "x") for k in range(1, 31) for c in range(40) for _ in range(2)] + [(40, f"{c}-a", "x") for c in range(36)] + [(41, f"{c}-a", "x") for c in range(31)]
+    files = [(k, "s", "p", 1, None, int(k > 30), "x") for k in (*range(1, 31), 40, 41)]
+    made = frames(spark, files, chunks, [(1, None, None, None, 0)])
+    store = history.HistoryStore(spark, str(tmp_path), per_bucket=16)
+    assert offer(store, 0, made, scratch) == set()
+    assert sorted(len(set(r["tokens"])) for r in store._read("contents").collect()) == [40, 40, 40]
+    assert offer(store, 1, made, scratch) == {("file", 3, 40)}  # 36 of 40; 31 of 40 is too little
+    assert store._read("contents").count() == 5 and store._read("postings").count() == 120 + 36 + 31

@@ -8,7 +8,7 @@ more batches:
 * ``postings`` (token, class, sig, size): the chunk hashes of each content new to the store, by chunk hash; ``class`` is
   the content's size in steps of a quarter, so that a frequent chunk hash is split by size and only sizes that may fit
   are joined;
-* ``sets``     (sig, token): the same rows by content, for counting what two contents share;
+* ``contents`` (sig, tokens): the same by content, one row each, for counting what two contents share;
 * ``filter``   (block, w0..w3): a partitioned Bloom filter of the layer's fingerprints: four slices of 64 bits a block,
   one bit of each set for a fingerprint, built by bit_or with map-side sums.
 
@@ -47,11 +47,11 @@ from tidewell.shared import Scratch, empty, names_in, read_text, remove, write_o
 
 EXACT = "key bigint, twin bigint, kind tinyint, batch_no int, first_key bigint"
 POSTINGS = "token bigint, class int, sig bigint, size int"
-SETS = "sig bigint, token bigint"
+CONTENTS = "sig bigint, tokens array<bigint>"
 WORDS = [f"w{k}" for k in range(4)]
 FILTER = "block bigint, " + ", ".join(f"{w} bigint" for w in WORDS)
-SCHEMAS = {"exact": EXACT, "postings": POSTINGS, "sets": SETS}
-BUCKET_OF = {"exact": "key", "postings": "token", "sets": "sig"}
+SCHEMAS = {"exact": EXACT, "postings": POSTINGS, "contents": CONTENTS}
+BUCKET_OF = {"exact": "key", "postings": "token", "contents": "sig"}
 #: Fingerprints of a block of 4 x 64 bits: false positives below 0.1 %.
 PER_BLOCK = 12
 #: Fingerprints a bucket is meant for; a layer has at most so many buckets.
@@ -83,6 +83,34 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.lit(math.log(1.25))).cast("int")
 
 
+def gathered(chunks: DataFrame) -> DataFrame:
+    """One row a file and batch of ``chunks`` (file_key, chunk_hash, batch_no): its distinct chunk hashes and its signature,
+    which is made of their number and two independent folds of them."""
+    text = F.lower(F.trim("chunk_hash"))
+    words = chunks.where((text != "") & F.col("file_key").isNotNull())
+    words = words.select(F.col("file_key").cast("bigint").alias("file_key"), F.col("batch_no").cast("int").alias("batch_no"), F.xxhash64(text).alias("token"), F.xxhash64(text, F.lit("second")).alias("twin"))
+    folds = words.repartition("file_key").distinct().groupBy("file_key", "batch_no").agg(F.count(F.lit(1)).cast("int").alias("size"), F.bit_xor("token").alias("x"), F.bit_xor("twin").alias("y"), F.collect_list("token").alias("tokens"))
+    return folds.select("file_key", "batch_no", "tokens", "size", F.xxhash64("size", "x", "y").alias("sig"), F.xxhash64("y", "x", "size", F.lit(1)).alias("sig_twin"))
+
+
+def marks_of(files: DataFrame, whole: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(key, twin, kind, batch_no, record_key): the exact fingerprints of the records; ``whole`` as of :func:`gathered`."""
+    number = F.col("batch_no").cast("int").alias("batch_no")
+    file = files.where("file_key is not null").select(F.col("file_key").cast("bigint").alias("file_key"), clean_hash("hash").alias("hash"), number)
+    place = F.concat_ws("\x1f", clean_hash("doc_hash"), F.coalesce(F.col("page").cast("string"), F.lit("-")), "field_code")
+    row = ledger.where(F.col("row_key").isNotNull() & clean_hash("doc_hash").isNotNull() & F.col("field_code").isNotNull())
+
+    def mark(kind: int, df: DataFrame, key: Column, twin: Column, record: str) -> DataFrame:
+        return df.select(key.alias("key"), twin.alias("twin"), F.lit(kind).cast("tinyint").alias("kind"), number, F.col(record).cast("bigint").alias("record_key"))
+
+    double = lambda c: (F.xxhash64(c), F.xxhash64(c, F.lit("second")))
+    return (
+        mark(0, file.where("hash is not null"), *double(F.col("hash")), "file_key")
+        .unionByName(mark(1, whole, F.col("sig"), F.col("sig_twin"), "file_key"))
+        .unionByName(mark(2, row, *double(place), "row_key"))
+    )
+
+
 class HistoryStore:
     """What was accepted so far, in a folder that all executors share; one writer at a time."""
 
@@ -197,32 +225,16 @@ class HistoryStore:
         doc_hash, page, field_code, batch_no. Numbers reach the plans as data: every batch runs the same code. ``several`` may
         be false where all rows are of one batch, which then need not be looked up among themselves."""
         turn = uuid.uuid4().hex[:8]
-        number = F.col("batch_no").cast("int").alias("batch_no")
-        file = files.where("file_key is not null").select(F.col("file_key").cast("bigint").alias("file_key"), clean_hash("hash").alias("hash"), number)
-        text = F.lower(F.trim("chunk_hash"))
-        words = chunks.where((text != "") & F.col("file_key").isNotNull()).select(F.col("file_key").cast("bigint").alias("file_key"), number, F.xxhash64(text).alias("token"), F.xxhash64(text, F.lit("second")).alias("twin"))
-        # contents by signature: number of distinct hashes and two independent folds of them
-        of = W.partitionBy("file_key")
-        whole = words.repartition("file_key").distinct().withColumns({"size": F.count(F.lit(1)).over(of).cast("int"), "x": F.bit_xor("token").over(of), "y": F.bit_xor("twin").over(of)})
-        whole = whole.select("file_key", "batch_no", "token", "size", F.xxhash64("size", "x", "y").alias("sig"), F.xxhash64("y", "x", "size", F.lit(1)).alias("sig_twin"))
-        whole = scratch.keep(whole, f"whole-{turn}")
+        whole = scratch.keep(gathered(chunks), f"whole-{turn}")
+        return self.prepare_marked(whole, scratch.keep(marks_of(files, whole, ledger), f"marks-{turn}"), scratch, several=several, turn=turn)
+
+    def prepare_marked(self, whole: DataFrame, marks: DataFrame, scratch: Scratch, *, several: bool = True, turn: str | None = None) -> Batch:
+        """:meth:`prepare` for a batch whose rows are gathered and marked and written already."""
+        turn = turn or uuid.uuid4().hex[:8]
         # each content once, whatever number of files carry it
-        contents = scratch.keep(whole.select("sig", "size", "token").distinct(), f"contents-{turn}")
-        place = F.concat_ws("\x1f", clean_hash("doc_hash"), F.coalesce(F.col("page").cast("string"), F.lit("-")), "field_code")
-        row = ledger.where(F.col("row_key").isNotNull() & clean_hash("doc_hash").isNotNull() & F.col("field_code").isNotNull())
-
-        def mark(kind: int, df: DataFrame, key: Column, twin: Column, record: str) -> DataFrame:
-            return df.select(key.alias("key"), twin.alias("twin"), F.lit(kind).cast("tinyint").alias("kind"), number, F.col(record).cast("bigint").alias("record_key"))
-
-        double = lambda c: (F.xxhash64(c), F.xxhash64(c, F.lit("second")))
-        marks = (
-            mark(0, file.where("hash is not null"), *double(F.col("hash")), "file_key")
-            .unionByName(mark(1, whole.select("file_key", "batch_no", "sig", "sig_twin").distinct(), F.col("sig"), F.col("sig_twin"), "file_key"))
-            .unionByName(mark(2, row, *double(place), "row_key"))
-        )
-        marks = scratch.keep(marks, f"marks-{turn}")
+        contents = scratch.keep(whole.select("sig", "size", "tokens").dropDuplicates(["sig"]), f"contents-{turn}")
         firsts = scratch.keep(marks.groupBy(*SAME, "batch_no").agg(F.min("record_key").alias("first_key")), f"firsts-{turn}")
-        prints = firsts.select("key", "kind").unionByName(contents.select(F.col("token").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind"))).distinct()
+        prints = firsts.select("key", "kind").unionByName(contents.select(F.explode("tokens").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind"))).distinct()
         prints = scratch.keep(prints, f"prints-{turn}")
         return Batch(turn, contents, marks, firsts, prints, prints.count(), several)
 
@@ -245,13 +257,11 @@ class HistoryStore:
             else:
                 held, hits = empty(self.spark, EXACT), empty(self.spark, "layer int, key bigint, kind tinyint")
             born = contents.join(known, "sig", "left_anti")
-            tables = {"exact": firsts, "postings": born.select("token", size_class(F.col("size")).alias("class"), "sig", "size"), "sets": born.select("sig", "token")}
+            tables = {"exact": firsts, "postings": born.select(F.explode("tokens").alias("token"), size_class(F.col("size")).alias("class"), "sig", "size"), "contents": born.select("sig", "tokens")}
             added = pool.submit(self._write, layer, tables, prints) if batch.count else None
             if added is not None and batch.several:  # the delivery's batches are looked up in its own layer too
                 added.result()
-                twice = contents.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                own = twice.select(F.lit(layer["number"]).alias("layer"), F.col("token").alias("key"), F.lit(TOKEN).cast("tinyint").alias("kind"))
-                near = pool.submit(self._near, [*self.layers, layer], contents, firsts, hits.unionByName(own), scratch, turn)
+                near = pool.submit(self._near, [*self.layers, layer], contents, firsts, hits, scratch, turn, own=layer)
                 held = held.unionByName(firsts)
             if near is None:
                 found = empty(self.spark, "record_kind string, earlier_key bigint, later_key bigint")
@@ -269,25 +279,40 @@ class HistoryStore:
                 self._commit([*self.layers, layer])
         if len(self.layers) > self.most_layers:
             self.compact()
-        for name in ("whole", "contents", "marks", "firsts", "prints", "seen", "held", "asked", "pairs"):
+        for name in ("whole", "contents", "marks", "firsts", "prints", "seen", "held", "asked", "lists", "pairs"):
             scratch.drop(f"{name}-{turn}")
         return found
 
-    def _near(self, layers: list[dict], contents: DataFrame, firsts: DataFrame, hits: DataFrame, scratch: Scratch, turn: str) -> DataFrame:
-        """(key, twin, kind, now, earlier_key) of contents of the batch with enough in common with one of an earlier batch."""
+    def _near(self, layers: list[dict], contents: DataFrame, firsts: DataFrame, hits: DataFrame, scratch: Scratch, turn: str, *, own: dict | None = None) -> DataFrame:
+        """(key, twin, kind, now, earlier_key) of contents of the batch with enough in common with one of an earlier batch.
+
+        ``hits`` are the chunk hashes that the filters may hold; in ``own``, the delivery's own layer, are those of two contents."""
         over, under = self.share
         # sets of fewer than `over`/(`under`-`over`) hashes are only near to themselves
         large = contents.where(F.col("size") >= math.ceil(over / (under - over)))
-        marked = large.join(hits.select(F.col("key").alias("token"), F.lit(1).alias("hit")).distinct(), "token", "left")
+        tokens = large.select("sig", "size", F.explode("tokens").alias("token"))
+        # the layers that may hold a chunk hash, as bits of a number; layers that share a bit are read alike
+        bits = {x["number"]: 1 << (n % 62) for n, x in enumerate(layers)}
+        bit = F.element_at(F.create_map(*[F.lit(y).cast(kind) for x in bits.items() for y, kind in zip(x, ("int", "bigint"))]), F.col("layer"))
+        where = hits.select(F.col("key").alias("token"), bit.alias("where"))
+        if own is None:
+            where = where.groupBy("token").agg(F.bit_or("where").alias("where"))
+        else:
+            mine = F.when(F.sum("n") > 1, F.lit(bits[own["number"]])).otherwise(0).cast("bigint")
+            told = where.withColumn("n", F.lit(0)).unionByName(tokens.select("token", F.lit(0).cast("bigint").alias("where"), F.lit(1).alias("n")))
+            where = told.groupBy("token").agg(F.bit_or("where").bitwiseOR(mine).alias("where")).where(F.col("where") != 0)
         # what no filter holds is rarest; as many of the rest are looked up as are left of the quota
         least = F.col("size") - F.ceil(F.col("size") * over / under) + 1
-        quota = least - F.count_if(F.col("hit").isNull()).over(W.partitionBy("sig"))
-        asked = scratch.keep(marked.withColumn("quota", quota).where("hit = 1 and quota > 0").select("sig", "size", "token", "quota"), f"asked-{turn}")
-        (cells,) = self._cells(layers, (hits.join(asked.select(F.col("token").alias("key")).distinct(), "key", "left_semi"), "key"))
+        quota = least - (F.col("size") - F.count(F.lit(1)).over(W.partitionBy("sig")))
+        asked = scratch.keep(tokens.join(where, "token").withColumn("quota", quota).where("quota > 0").select("sig", "size", "token", "quota", "where"), f"asked-{turn}")
+        every = F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(x).cast("bigint").alias("bit")) for n, x in bits.items()])
+        (cells,) = self._cells(layers, (asked.select("token", F.explode(F.filter(every, lambda x: x["bit"].bitwiseAND(F.col("where")) != 0)).alias("l")).select("token", "l.layer"), "token"))
         if not cells:
             return empty(self.spark, "key bigint, twin bigint, kind tinyint, now int, earlier_key bigint")
         lists = self._read("postings", cells).select("token", "class", F.col("sig").alias("other"), F.col("size").alias("other_size"), self._number(F.col("layer")).alias("layer"))
-        counts = lists.select("token").join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        # most of a store is not asked for: what is, is set aside and then counted and joined
+        lists = scratch.keep(lists.join(asked.select("token").distinct(), "token", "left_semi"), f"lists-{turn}")
+        counts = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         # a token in no list was a false alarm of a filter; it counts as rarest too and is looked up in vain
         rank = F.row_number().over(W.partitionBy("sig").orderBy(F.coalesce("df", F.lit(0)), "token"))
         picked = asked.join(counts, "token", "left").withColumn("rank", rank).where("rank <= quota and df is not null")
@@ -296,11 +321,12 @@ class HistoryStore:
         fits = (F.col("other_size") * under >= F.col("size") * over) & (F.col("size") * under >= F.col("other_size") * over)
         pairs = picked.join(lists, ["token", "class"]).where(fits & (F.col("sig") != F.col("other")))
         pairs = scratch.keep(pairs.select("sig", "size", "other", "other_size", "layer").distinct(), f"pairs-{turn}")
-        in_sets, in_exact = self._cells(layers, (pairs, "other"), (pairs.drop("layer"), "other"))
+        in_contents, in_exact = self._cells(layers, (pairs, "other"), (pairs.drop("layer"), "other"))
         # a pair with a rare hash in common is likely near; only their hashes are counted (a content is in one layer only)
-        theirs = self._read("sets", in_sets).select(F.col("sig").alias("other"), "token")
-        shared = pairs.join(large.select("sig", "token"), "sig").join(theirs, ["other", "token"]).groupBy("sig", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("both"))
-        good = shared.where(F.col("both") * under >= (F.col("size") + F.col("other_size") - F.col("both")) * over).select("sig", "other")
+        theirs = self._read("contents", in_contents).select(F.col("sig").alias("other"), F.col("tokens").alias("others"))
+        both = F.size(F.array_intersect("tokens", "others"))
+        enough = both * under >= (F.col("size") + F.col("other_size") - both) * over
+        good = pairs.join(large.select("sig", "tokens"), "sig").join(theirs, "other").where(enough).select("sig", "other").distinct()
         # when and by whom the near contents were carried first
         dated = self._read("exact", in_exact).where("kind = 1")
         near = good.join(firsts.where("kind = 1").select(F.col("key").alias("sig"), *SAME, F.col("batch_no").alias("now")), "sig")
@@ -310,7 +336,7 @@ class HistoryStore:
 
 @dataclass(frozen=True)
 class Batch:
-    """A prepared batch: distinct contents (sig, size, token), marks (key, twin, kind, batch_no, record_key), of these the
+    """A prepared batch: distinct contents (sig, size, tokens), marks (key, twin, kind, batch_no, record_key), of these the
     first record of each (firsts), and all fingerprints (key, kind) with their number."""
 
     name: str
@@ -325,22 +351,26 @@ class Batch:
 def forerunners(files: DataFrame, chunks: DataFrame, ledger: DataFrame, scratch: Scratch, *, per_delivery: int = 2) -> DataFrame:
     """All batches, oldest first, offered to a new store, ``per_delivery`` consecutive ones at a time.
 
-    The chunks are sorted into their batches once, so that each delivery reads its own rows only. The rows found are the
+    All rows are gathered, marked and sorted into their batches once, so that each delivery reads its own rows only. The rows found are the
     same for any number; fewer deliveries spare the driver plans."""
     spark = files.sparkSession
     files = files.where("batch_no is not null").select("file_key", "hash", "batch_no")
     ledger = ledger.where("batch_no is not null").select("row_key", "doc_hash", "page", "field_code", "batch_no")
     numbers = sorted(r[0] for r in files.select("batch_no").union(ledger.select("batch_no")).distinct().collect())
     parts = [numbers[k : k + per_delivery] for k in range(0, len(numbers), per_delivery)]
-    placed = chunks.select("file_key", "chunk_hash").join(files.select("file_key", "batch_no").distinct(), "file_key")
-    placed.write.partitionBy("batch_no").option("compression", "zstd").parquet(f"{scratch.root}/placed")
-    placed = spark.read.schema("file_key bigint, chunk_hash string, batch_no int").parquet(f"{scratch.root}/placed")
+
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.partitionBy("batch_no").option("compression", "zstd").parquet(f"{scratch.root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{scratch.root}/{name}")
+
+    whole = placed(gathered(chunks.select("file_key", "chunk_hash").join(files.select("file_key", "batch_no").distinct(), "file_key")), "whole")
+    marks = placed(marks_of(files, whole, ledger), "marks")
     store = HistoryStore(spark, f"{scratch.root}/store")
     out = empty(spark, "record_kind string, earlier_key bigint, later_key bigint")
 
     def made(part: list[int]) -> Batch:
         inside = F.col("batch_no").between(part[0], part[-1])
-        return store.prepare(files.where(inside), placed.where(inside), ledger.where(inside), scratch, several=len(part) > 1)
+        return store.prepare_marked(whole.where(inside), marks.where(inside), scratch, several=len(part) > 1)
 
     with ThreadPoolExecutor(1) as ahead:  # the next delivery is prepared while one is looked up
         after = ahead.submit(made, parts[0]) if parts else None
